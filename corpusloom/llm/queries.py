@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import mixing
+from corpusloom.llm import license, mixing, rules
 from corpusloom.llm.shared import stage, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -47,3 +47,15 @@ j AS (SELECT k.doc_id, k.size, k.rk, t.source_size, t.target, t.u, CASE WHEN t.s
   FROM k JOIN t ON k.source IS NOT DISTINCT FROM t.source)
 SELECT doc_id, size, source_size, target, ((floor(rk * ratio + u) - floor((rk - 1) * ratio + u))::BIGINT * size)::BIGINT AS taken FROM j
 """
+
+
+@query
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statistics and verdict of every document."""
+    return rules.judged(table(spark, sf_dir, "documents"))
+
+
+@query
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base places, labels and score of every document."""
+    return license.licenses(table(spark, sf_dir, "documents"))
