@@ -22,8 +22,9 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType, StructType
 
 from corpusloom.llm import textkit as T
 from corpusloom.llm.shared import stage
@@ -139,7 +140,7 @@ def _inverted(groups: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield g[["lang", "source"]].assign(n_group=g["n"], mean=list(mean), inv=inv)
 
 
-def _distance() -> F.Column:
+def _distance() -> Column:
     names, terms, k = list(FEATURES), [], 0
     dev = [F.col(f) / GRID - F.col("mean")[i] for i, f in enumerate(names)]
     for i in range(len(names)):
@@ -171,11 +172,19 @@ def _medians(v: DataFrame, keys: list[str]) -> DataFrame:
     return stage(spread, "mcd-start").select(*keys, "n_group", F.array(*[F.col(f"m_{f}") / GRID for f in names]).alias("mean"), F.array(*diag).alias("inv"))
 
 
+def _constant(value, kind: DataType) -> Column:
+    if value is not None and isinstance(kind, StructType):
+        return F.struct(*[_constant(value[f.name], f.dataType).alias(f.name) for f in kind])
+    if isinstance(value, list):
+        return F.array(*[F.lit(x) for x in value]).cast(kind)
+    return F.lit(value).cast(kind)
+
+
 def _join(v: DataFrame, g: DataFrame, keys: list[str]) -> DataFrame:
     """Inner join in which null keys meet."""
     if not keys:  # one row, the estimate of all documents: its values become literals
         row = g.first()
-        return v.withColumns({f.name: F.lit(row[f.name] if row else None).cast(f.dataType) for f in g.schema if f.name not in ("lang", "source")})
+        return v.withColumns({f.name: _constant(row[f.name] if row else None, f.dataType) for f in g.schema if f.name not in ("lang", "source")})
     right = g.select(*[F.col(k).alias(f"r_{k}") for k in keys], *[c for c in g.columns if c not in ("lang", "source")])
     on = None
     for k in keys:
