@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import license, mixing, rules
+from corpusloom.llm import license, mixing, packing, pii, rules
 from corpusloom.llm.shared import stage, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -59,3 +59,15 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base places, labels and score of every document."""
     return license.licenses(table(spark, sf_dir, "documents"))
+
+
+@query
+def op7_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and spans of personal data in every document."""
+    return pii.personal_data(table(spark, sf_dir, "documents"))
+
+
+@query
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every piece of every document with its sequence and offset."""
+    return packing.pack(table(spark, sf_dir, "documents")).drop("ids")
