@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import license, mixing, packing, pii, rules, secretscan
+from corpusloom.llm import license, minhash, mixing, packing, pii, rules, secretscan
 from corpusloom.llm.shared import stage, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -77,3 +77,9 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts and spans of secrets in every document."""
     return secretscan.secrets(table(spark, sf_dir, "documents"))
+
+
+@query
+def op3_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Set size, class and verdict of every document, on shingles of four words."""
+    return minhash.clusters(table(spark, sf_dir, "documents"), width=4)
