@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import license, minhash, mixing, packing, pii, rules, secretscan
+from corpusloom.llm import ann, license, minhash, mixing, packing, pii, rules, secretscan
 from corpusloom.llm.shared import stage, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -83,3 +83,19 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Set size, class and verdict of every document, on shingles of four words."""
     return minhash.clusters(table(spark, sf_dir, "documents"), width=4)
+
+
+@query
+def op1_forest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five nearest found of every fiftieth vector."""
+    return ann.nearest(table(spark, sf_dir, "embeddings"))
+
+
+SQL["op1_forest_neighbours"] = """
+WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings),
+p AS (
+  SELECT a.vec_id AS query_id, b.vec_id, list_cosine_similarity(a.v, b.v) AS score
+  FROM v a JOIN v b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM p)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
+"""
