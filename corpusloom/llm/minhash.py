@@ -152,7 +152,8 @@ def clusters(docs: DataFrame, width: int = 5, percent: int = PERCENT) -> DataFra
     member = blocks.join(parts, "label").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
     member = member.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     member = member.select("label", "node", "part", F.least("part", "other").alias("one"), F.greatest("part", "other").alias("two"))
-    read = member.join(texts.where("text is not null").withColumnRenamed("doc_id", "node"), "node")
+    # a merge join at every size: members grow with the corpus, so a plan that sends them around holds for small ones only
+    read = member.hint("merge").join(texts.where("text is not null").withColumnRenamed("doc_id", "node"), "node")
     links = read.groupBy("label", "one", "two").applyInPandas(_linker(width, percent), "a long, b long")
     classes = components(links).select("node", F.col("label").alias("component"))
     named = nodes.select("fa", "fb", "node").join(classes, "node", "left").select("fa", "fb", F.coalesce("component", "node").alias("component"))
