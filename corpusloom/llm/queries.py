@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import ann, license, minhash, mixing, packing, pii, repeats, rules, secretscan
+from corpusloom.llm import ann, license, minhash, mixing, packing, pii, quality, repeats, rules, secretscan
 from corpusloom.llm.shared import stage, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -105,3 +105,9 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 def op5_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bytes removed from every document because a string of 100 bytes starts earlier."""
     return repeats.without_repeats(table(spark, sf_dir, "documents"))
+
+
+@query
+def op4_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Importance weight, Gumbel key and verdict of every document."""
+    return quality.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
