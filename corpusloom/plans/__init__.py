@@ -1 +1,14 @@
+"""Queries of the engine's own operators."""
 
+import importlib
+
+MODULES = ("url_queries", "text_queries")
+
+
+def load():
+    """All registered queries, and their SQL."""
+    from corpusloom.plans import registry
+
+    for m in MODULES:
+        importlib.import_module(f"corpusloom.plans.{m}")
+    return dict(registry.QUERIES), dict(registry.SQL)
