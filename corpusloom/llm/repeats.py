@@ -37,7 +37,7 @@ from corpusloom.llm import textkit as T
 from corpusloom.llm.shared import stage
 
 LENGTH, GRAM = 100, 20
-BUCKET_ROWS = 40_000
+BUCKET_ROWS = 10_000
 _PLACE = 23  # bits for a position inside a block
 
 
@@ -69,17 +69,16 @@ def segments(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, ...]:
     after = np.minimum.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].ravel()
     least = np.minimum(after[:windows], before[width - 1 : width - 1 + windows])
     at = (least & np.uint64((1 << _PLACE) - 1)).astype(np.int64)
-    valid = np.zeros(windows, dtype=bool)
-    row = np.searchsorted(off, np.arange(windows), side="right") - 1 if len(off) > 2 else np.zeros(windows, dtype=np.int64)
-    valid = np.arange(windows) + LENGTH <= off[row + 1]
-    first = valid.copy()
-    first[1:] &= ~valid[:-1] | (at[1:] != at[:-1]) | (row[1:] != row[:-1])
-    last = valid.copy()
-    last[:-1] &= ~valid[1:] | (at[1:] != at[:-1]) | (row[1:] != row[:-1])
+    # the last 99 positions of a row start no window, so runs of valid windows never join two rows
+    valid = np.arange(LENGTH, LENGTH + windows) <= np.repeat(off[1:], np.diff(off))[:windows]
+    change = at[1:] != at[:-1]
+    first, last = valid.copy(), valid.copy()
+    first[1:] &= ~valid[:-1] | change
+    last[:-1] &= ~valid[1:] | change
     s, e = np.flatnonzero(first), np.flatnonzero(last) + LENGTH
     with np.errstate(over="ignore"):
         whole = T.mix(T.mix((total[e] - total[s]) * inverse[s]) + (e - s).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
-    return row[s], s, e - s, gram[at[s]], whole
+    return np.searchsorted(off, s, side="right") - 1, s, e - s, gram[at[s]], whole
 
 
 _SEGMENT = pa.schema([("anchor", pa.int64()), ("seg", pa.int64()), ("doc_id", pa.int64()), ("start", pa.int64()), ("len", pa.int32())])
@@ -149,10 +148,9 @@ class RunIndex:
             shifted = np.zeros(n, dtype=np.int64)
             shifted[: max(n - j, 0)] = sym[j:]
             key = key * 257 + np.where(left >= j, shifted, 0)
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)
         k = key[order]
-        # a pack that holds a separator is settled: equal ones follow in the order of their separators
-        new = np.concatenate([[True], (k[1:] != k[:-1]) | (left[order[1:]] < depth)]) if n else np.zeros(0, dtype=bool)
+        new = np.concatenate([[True], k[1:] != k[:-1]]) if n else np.zeros(0, dtype=bool)
         rank = np.zeros(n, dtype=np.int64)
         group = np.flatnonzero(new)[np.cumsum(new) - 1] if n else rank
         rank[order] = group
@@ -167,11 +165,13 @@ class RunIndex:
             if not len(rows):
                 break
             at = order[rows]
-            key = group[rows] * np.int64(n + 1) + rank[at + depth]  # tied suffixes reach beyond ``depth``, inside their string
-            again = np.argsort(key, kind="stable")
+            # tied suffixes that hold their separator are in the order of their separators, others go by what follows
+            ended = left[at] < depth
+            key = group[rows] * np.int64(2 * n + 1) + np.where(ended, at, n + rank[np.minimum(at + depth, n - 1)])
+            again = np.argsort(key)
             order[rows] = at[again]
             k = key[again]
-            new = np.concatenate([[True], (k[1:] != k[:-1]) | (left[order[rows[1:]]] < 2 * depth)])
+            new = np.concatenate([[True], k[1:] != k[:-1]])
             group[rows] = rows[np.flatnonzero(new)[np.cumsum(new) - 1]]
             rank[order[rows]] = group[rows]
             depth *= 2
@@ -243,10 +243,19 @@ def _remover(keep_bytes: bool):
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             cols = [[] for _ in _FINAL]
-            for doc, text, marks in zip(b.column("doc_id").to_pylist(), b.column("text"), b.column("marks")):
-                raw = (text.as_py() or "").encode()
+            data, off = T.buffers(b.column("text"))
+            lists = b.column("marks")
+            bounds, flat = lists.offsets.to_numpy(), lists.values
+            start, size = (flat.field(f).to_numpy(zero_copy_only=False) for f in ("start", "len"))
+            row = np.repeat(np.arange(len(lists)), np.diff(bounds))
+            start, size = start[bounds[0] : bounds[-1]], size[bounds[0] : bounds[-1]]
+            order = np.lexsort((start, row))
+            first = (bounds - bounds[0]).tolist()
+            pairs = list(zip(start[order].tolist(), (start + size)[order].tolist()))
+            for i, doc in enumerate(b.column("doc_id").to_pylist()):
+                raw = data[off[i] : off[i + 1]].tobytes()
                 spans: list[list[int]] = []
-                for m in sorted((m["start"].as_py(), m["start"].as_py() + m["len"].as_py()) for m in marks) if marks.is_valid else ():
+                for m in pairs[first[i] : first[i + 1]]:
                     if spans and m[0] <= spans[-1][1]:
                         spans[-1][1] = max(spans[-1][1], m[1])
                     else:
