@@ -7,7 +7,7 @@ the doc_id, so reruns agree. k is the number of documents whose weight reaches t
 labelled documents (a false rejection counts ``CAUTION`` times a miss); it is not a fixed share, so clean documents stay. A third
 of the labelled documents, by a hash of their ids, are kept out of the target model and set the threshold.
 
-Model counts cover every document and every label; both models have ``BUCKETS`` counts, which bounds what the driver
+The raw model counts every document, the target model a bounded sample of the labelled ones (``LABELS``); both models have ``BUCKETS`` counts, which bounds what the driver
 holds. Rates are smoothed towards the raw model by ``PRIOR`` expected counts: a bucket the target has too little of to
 tell weighs nothing. Orders above 1 may be asked for; on held-out labels single words separated best.
 
@@ -33,6 +33,8 @@ from corpusloom.llm.license import IS_WORD
 from corpusloom.llm.shared import stage
 
 BUCKETS, PRIOR, TEMPERATURE, CAUTION, ORDERS, SEED = 1 << 18, 4.0, 0.02, 8.0, (1,), 11
+#: At most about so many labelled documents fit the target model and set the threshold.
+LABELS = 40_000
 #: Keys and thresholds are compared in multiples of 1/GRID.
 GRID = 1 << 16
 
@@ -77,11 +79,19 @@ def _counter(orders):
     return count
 
 
-def _labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """``docs`` with good: true, false or (without a label) null. Of several labels of a document the worst counts."""
+def label_sample(labels: DataFrame, most: int = LABELS) -> DataFrame:
+    """doc_id and good of about ``most`` labelled documents at most, by a hash of the id; of several labels the worst counts.
+    Bounded by ``most``, so it is broadcast, and texts stay where they are."""
+    known = labels.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "quality", "toxic")
     good = (F.coalesce(F.col("quality"), F.lit(0)) == 1) & (F.coalesce(F.col("toxic"), F.lit(0)) == 0)
-    known = labels.where("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min(good).alias("good"))
-    return docs.join(known, "doc_id", "left")
+    ids = known.agg(F.approx_count_distinct("doc_id").alias("n")).first()["n"]
+    taken = known.where(F.pmod(F.xxhash64(F.lit("labels"), "doc_id"), F.lit(max(1, -(-ids // most)))) == 0)
+    return F.broadcast(taken.groupBy("doc_id").agg(F.min(good).alias("good")))
+
+
+def _labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """``docs`` with good: true, false or (without a label in the sample) null."""
+    return docs.join(label_sample(labels), "doc_id", "left")
 
 
 def _held_out() -> Column:
