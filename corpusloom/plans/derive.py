@@ -32,13 +32,13 @@ def text_page(spark, d) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", F.substring(F.split_part("text", F.lit("\n"), F.lit(1)), 1, 80).alias("title"), "text")
 
 
-def attempt(spark, d) -> DataFrame:
-    """A log of reads: req_id, at (epoch seconds), host, reader, outcome, k."""
-    e = table(spark, d, "events")
+def attempt(spark, d, source: DataFrame | None = None) -> DataFrame:
+    """A log of reads: req_id, secs (since the epoch), host, reader, outcome, k. ``source``: the events, if not from the table."""
+    e = table(spark, d, "events") if source is None else source
     outcome = F.create_map(*[F.lit(x) for kv in {"view": "ok", "click": "want_miss", "signup": "js_shell", "purchase": "not_found", "error": "refused"}.items() for x in kv])
     return e.select(
         F.col("event_id").alias("req_id"),
-        F.unix_timestamp(F.col("ts").cast("timestamp")).alias("at"),
+        F.unix_timestamp(F.col("ts").cast("timestamp")).alias("secs"),
         F.concat(F.lit("h"), (F.col("user_id") % 10).cast("string"), F.lit(".example")).alias("host"),
         F.element_at(F.array(*[F.lit(r) for r in P.READERS]), (F.col("event_id") % 4 + 1).cast("int")).alias("reader"),
         F.element_at(outcome, F.col("event_type")).alias("outcome"),
@@ -133,7 +133,7 @@ SQL = {
     "link": f"""link AS (SELECT page_id, base, (pos - 1)::BIGINT AS pos, 'https://' || {sql_host('base')} || split_part(href, '#', 1) AS url FROM (
       SELECT page_id, base, unnest(hs) AS href, generate_subscripts(hs, 1) AS pos FROM (SELECT page_id, url AS base, regexp_extract_all(html, '<a href="([^"]*)"', 1) AS hs FROM pages)))""",
     "text_page": "text_page AS (SELECT doc_id, left(split_part(text, chr(10), 1), 80) AS title, text FROM documents)",
-    "attempt": """attempt AS (SELECT event_id AS req_id, epoch(ts)::BIGINT AS at, 'h' || (user_id % 10) || '.example' AS host,
+    "attempt": """attempt AS (SELECT event_id AS req_id, floor(epoch(ts))::BIGINT AS secs, 'h' || (user_id % 10) || '.example' AS host,
       (['direct', 'firecrawl', 'crawl4ai', 'browser'])[event_id % 4 + 1] AS reader,
       CASE event_type WHEN 'view' THEN 'ok' WHEN 'click' THEN 'want_miss' WHEN 'signup' THEN 'js_shell' WHEN 'purchase' THEN 'not_found' WHEN 'error' THEN 'refused' END AS outcome,
       json_extract_string(props, '$.k')::BIGINT AS k, value, user_id FROM events)""",
