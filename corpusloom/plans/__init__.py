@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ("url_queries", "text_queries", "host_queries")
+MODULES = ("url_queries", "text_queries", "host_queries", "link_queries")
 
 
 def load():

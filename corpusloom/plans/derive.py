@@ -15,6 +15,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def checkpoints(spark: SparkSession) -> None:
+    """Checkpoints go where the session says; a local folder is set only where it says nothing."""
+    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints")
+
+
 def site(spark, d) -> DataFrame:
     """pos, url (canonical) of every captured page."""
     return table(spark, d, "pages").select(F.col("page_id").alias("pos"), U.canonical(F.col("url")).alias("url"))
@@ -28,6 +34,12 @@ def link(spark, d) -> DataFrame:
     return out.select("page_id", "base", F.col("pos").cast("long").alias("pos"), F.concat(F.lit("https://"), U.host(F.col("base")), F.split_part("href", F.lit("#"), F.lit(1))).alias("url"))
 
 
+def site_link(spark, d) -> DataFrame:
+    """page_id, base, pos, url: the site map of each host as the links of one page, its root."""
+    s = site(spark, d).withColumn("host", U.host(F.col("url")))
+    return s.select(F.min("pos").over(Window.partitionBy("host")).alias("page_id"), F.concat(F.lit("https://"), "host", F.lit("/")).alias("base"), "pos", "url")
+
+
 def text_page(spark, d) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", F.substring(F.split_part("text", F.lit("\n"), F.lit(1)), 1, 80).alias("title"), "text")
 
@@ -146,6 +158,7 @@ SQL = {
     "section_src": """section_src AS (SELECT doc_id, (line_no - 1)::BIGINT AS line_no, line, regexp_extract(line, '^([A-Za-z]{1,4})(?:[^A-Za-z]|$)', 1) AS head FROM (
       SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) AS line_no FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents)))""",
 }
+SQL["site_link"] = SQL["site"] + f", link AS (SELECT min(pos) OVER (PARTITION BY {sql_host('url')}) AS page_id, 'https://' || {sql_host('url')} || '/' AS base, pos, url FROM site)"
 SQL["mirror"] = SQL["site"] + ", mirror AS (SELECT pos, url, 1704067200 + pos * 3600 AS fetched FROM site WHERE pos % 3 = 0)"
 
 
