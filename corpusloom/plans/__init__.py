@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ("url_queries", "text_queries", "host_queries", "link_queries")
+MODULES = ("url_queries", "text_queries", "host_queries", "link_queries", "recipe_queries", "section_queries")
 
 
 def load():
