@@ -15,7 +15,6 @@ from corpusloom.plans.url_queries import spread
 from corpusloom.sources import html as H
 
 q = D.quoted
-u = F.col("url")
 FAM = D.with_("site_link")[:-1] + f""", o AS (SELECT page_id, base, url, min(pos) AS pos FROM link WHERE {D.sql_bare('url')} = {D.sql_bare('base')} AND rtrim(url, '/') <> rtrim(split_part(base, '#', 1), '/') AND NOT regexp_matches(url, {q(P.ASSET)}) GROUP BY 1, 2, 3),
 s AS (SELECT *, {D.sql_pattern('url')} AS parent, {D.sql_family('url')} AS shape FROM o),
 c AS (SELECT page_id, parent, shape, count(*) AS n, min(pos) AS f FROM s GROUP BY 1, 2, 3),
@@ -42,7 +41,7 @@ def families_minus_nav(spark, d):
 def hub_pages(spark, d):
     """Pages with three or more links under their own section."""
     own = F.regexp_extract(U.path(F.col("base")), "^(/[^/]*)", 1)
-    l = D.link(spark, d).where((U.host(u) == U.host(F.col("base"))) & F.startswith(U.path(u), own))
+    l = D.link(spark, d).where((U.host(F.col("url")) == U.host(F.col("base"))) & F.startswith(U.path(F.col("url")), own))
     return l.groupBy("page_id").agg(F.count_distinct("url").alias("n")).where("n >= 3").select("page_id")
 
 
@@ -54,7 +53,7 @@ r AS (SELECT page_id, url, row_number() OVER (PARTITION BY page_id ORDER BY pos)
 def want_links(spark, d):
     """The first three links of a page that hold a word of what is wanted."""
     hay = F.lower("url")
-    l = D.link(spark, d).where((U.host(u) == U.host(F.col("base"))) & F.exists(F.array(*[F.lit(w) for w in _WORDS if w not in P.STEER_STOP]), lambda w: F.contains(hay, w)) & ~U.is_asset(u))
+    l = D.link(spark, d).where((U.host(F.col("url")) == U.host(F.col("base"))) & F.exists(F.array(*[F.lit(w) for w in _WORDS if w not in P.STEER_STOP]), lambda w: F.contains(hay, w)) & ~U.is_asset(F.col("url")))
     o = l.groupBy("page_id", "url").agg(F.min("pos").alias("pos"))
     return o.withColumn("rank", F.row_number().over(Window.partitionBy("page_id").orderBy("pos"))).where("rank <= 3").select("page_id", "url", "rank")
 
@@ -64,7 +63,7 @@ r AS (SELECT page_id, url, hits, row_number() OVER (PARTITION BY page_id ORDER B
 def sibling_links(spark, d):
     """Links that share most words with a request, the best two."""
     hits = F.size(F.filter(F.array(F.lit("tion"), F.lit("ment"), F.lit("the")), lambda w: F.contains(F.lower("url"), w)))
-    o = D.link(spark, d).where(U.host(u) == U.host(F.col("base"))).groupBy("page_id", "url").agg(F.min("pos").alias("pos")).withColumn("hits", hits).where("hits >= 1")
+    o = D.link(spark, d).where(U.host(F.col("url")) == U.host(F.col("base"))).groupBy("page_id", "url").agg(F.min("pos").alias("pos")).withColumn("hits", hits).where("hits >= 1")
     return o.withColumn("rank", F.row_number().over(Window.partitionBy("page_id").orderBy(F.desc("hits"), "pos"))).where("rank <= 2").select("page_id", "url", "hits", "rank")
 
 
@@ -98,7 +97,7 @@ SELECT node, min(level)::INTEGER AS level FROM (SELECT node, 0 AS level FROM s U
 def link_walk(spark, d):
     """What is reached from one host in two steps over sections that hosts share."""
     D.checkpoints(spark)
-    e = D.link(spark, d).select(U.host(F.col("base")).alias("src"), F.split_part(U.path(u), F.lit("/"), F.lit(2)).alias("dst")).distinct()
+    e = D.link(spark, d).select(U.host(F.col("base")).alias("src"), F.split_part(U.path(F.col("url")), F.lit("/"), F.lit(2)).alias("dst")).distinct()
     both = e.unionByName(e.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
     return L.walk(both, e.agg(F.min("src").alias("node")), 2)
 

@@ -10,7 +10,6 @@ from corpusloom.plans import derive as D
 from corpusloom.plans.registry import query
 
 q = D.quoted
-t = F.col("text")
 _BLOCKED = "(regexp_matches(left({0}, 4000), " + q(P.BLOCK_REFUSAL).replace("{", "{{").replace("}", "}}") + ") AND regexp_matches(left({0}, 4000), " + q(P.BLOCK_VISITOR).replace("{", "{{").replace("}", "}}") + "))"
 
 
@@ -21,17 +20,17 @@ WHEN regexp_matches(title, {q(P.ERROR_PAGE)}) OR (length(text) < 8000 AND regexp
 WHEN length(text) < 3000 AND regexp_matches(title || ' ' || left(text, 600), {q(P.LOGIN)}) THEN 'login_wall'
 WHEN length(text) < 300 THEN 'thin' WHEN NOT regexp_matches(text, '(?i)the|les') THEN 'want_miss' ELSE 'ok' END AS outcome FROM text_page""")
 def judge_docs(spark, d):
-    return D.text_page(spark, d).select("doc_id", X.judge(F.col("title"), t, F.lit(False), "the|les").alias("outcome"))
+    return D.text_page(spark, d).select("doc_id", X.judge(F.col("title"), F.col("text"), F.lit(False), "the|les").alias("outcome"))
 
 
 @query(f"SELECT doc_id FROM documents WHERE {_BLOCKED.format('text')}")
 def blocked_pages(spark, d):
-    return D.table(spark, d, "documents").where(X.blocked(t)).select("doc_id")
+    return D.table(spark, d, "documents").where(X.blocked(F.col("text"))).select("doc_id")
 
 
 @query("SELECT doc_id FROM documents WHERE regexp_matches(text, '(?i)licen[sc]e|copyright')")
 def want_filter(spark, d):
-    return D.table(spark, d, "documents").where(X.carries(t, "licen[sc]e|copyright")).select("doc_id")
+    return D.table(spark, d, "documents").where(X.carries(F.col("text"), "licen[sc]e|copyright")).select("doc_id")
 
 
 _FW = "[" + ", ".join(q(w) for w in P.FUNCTION_WORDS) + "]"
@@ -41,7 +40,7 @@ _FW = "[" + ", ".join(q(w) for w in P.FUNCTION_WORDS) + "]"
 SELECT doc_id, CASE WHEN len(w) < 8 THEN 0 ELSE floor(least(1.0::DOUBLE, (len(list_filter(w, lambda x: list_contains({_FW}, lower(x))))::DOUBLE / len(w)) / 0.35::DOUBLE)
  * (0.5::DOUBLE + 0.5::DOUBLE * (len(list_filter(w, lambda x: regexp_matches(x, '^[a-z]')))::DOUBLE / len(w))) * 1000)::BIGINT END AS prose_milli FROM w""")
 def prose_score(spark, d):
-    return D.table(spark, d, "documents").select("doc_id", X.prose_milli(t).alias("prose_milli"))
+    return D.table(spark, d, "documents").select("doc_id", X.prose_milli(F.col("text")).alias("prose_milli"))
 
 
 _STUB = ", ".join(q(w) for w in P.STUBS)
@@ -53,17 +52,17 @@ c AS (SELECT *, list_max(list_transform(list_distinct(words), lambda w: len(list
   letters > 80 AND (length(ref) - length(replace(ref, 't', ''))) * 500 < letters AND len(list_filter(regexp_extract_all(ref, '[A-Za-z]+'), lambda w: w IN ({_STUB}))) >= 2 AS few FROM b WHERE true)
 SELECT doc_id, CASE WHEN regexp_matches(left(text, 6000), {q(P.CHROME)}) THEN 'chrome' WHEN few AND coalesce(top * 100 < len(words) * 15, true) THEN 'letters missing' ELSE '' END AS reason FROM c""")
 def content_gate(spark, d):
-    return D.table(spark, d, "documents").select("doc_id", X.not_content(t).alias("reason"))
+    return D.table(spark, d, "documents").select("doc_id", X.not_content(F.col("text")).alias("reason"))
 
 
 @query("SELECT doc_id, CASE WHEN length(text) <= 6000 THEN text ELSE left(text, 6000) || chr(10) || chr(10) || '[excerpt: 6000 of ' || length(text) || ' chars; pass full=true for all]' END AS excerpt FROM documents")
 def excerpt(spark, d):
-    return D.table(spark, d, "documents").select("doc_id", X.excerpt(t).alias("excerpt"))
+    return D.table(spark, d, "documents").select("doc_id", X.excerpt(F.col("text")).alias("excerpt"))
 
 
 @query("SELECT doc_id, left(trim(regexp_replace(regexp_replace(text, '[*_`|]+', ' ', 'g'), '\\s+', ' ', 'g')), 200) AS value FROM documents")
 def clean_value(spark, d):
-    return D.table(spark, d, "documents").select("doc_id", X.clean(t).alias("value"))
+    return D.table(spark, d, "documents").select("doc_id", X.clean(F.col("text")).alias("value"))
 
 
 @query(D.with_("text_page") + "SELECT doc_id, replace(replace(title, 'the', '[key]'), 'que', '[key]') AS title FROM text_page")
@@ -73,7 +72,7 @@ def scrub(spark, d):
 
 @query("SELECT doc_id, regexp_extract(text, '[\\w.+-]+@[\\w-]+(?:\\.[\\w-]+)+') AS contact FROM documents")
 def contact_email(spark, d):
-    return D.table(spark, d, "documents").select("doc_id", F.regexp_extract(t, P.EMAIL, 0).alias("contact"))
+    return D.table(spark, d, "documents").select("doc_id", F.regexp_extract(F.col("text"), P.EMAIL, 0).alias("contact"))
 
 
 @query(f"""SELECT event_id, CASE WHEN event_id % 3 = 0 THEN floor(value)::DOUBLE WHEN event_id % 3 = 1 THEN greatest(0.0::DOUBLE, ((epoch(ts)::BIGINT + 600) - {D.NOW})::DOUBLE) ELSE 0.0::DOUBLE END AS seconds FROM events""")

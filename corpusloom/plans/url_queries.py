@@ -10,7 +10,7 @@ from corpusloom.functions import urls as U
 from corpusloom.plans import derive as D
 from corpusloom.plans.registry import query
 
-u, q = F.col("url"), D.quoted
+q = D.quoted
 
 
 def _pages(spark, d):
@@ -24,22 +24,22 @@ def src_pages_scan(spark, d):
 
 @query(f"SELECT page_id, {D.sql_host('url')} AS host FROM pages")
 def url_host(spark, d):
-    return _pages(spark, d).select("page_id", U.host(u).alias("host"))
+    return _pages(spark, d).select("page_id", U.host(F.col("url")).alias("host"))
 
 
 @query(f"SELECT page_id, {D.sql_pattern('url')} AS pattern FROM pages")
 def url_pattern(spark, d):
-    return _pages(spark, d).select("page_id", U.pattern(u).alias("pattern"))
+    return _pages(spark, d).select("page_id", U.pattern(F.col("url")).alias("pattern"))
 
 
 @query(f"SELECT page_id, {D.sql_family('url')} AS family FROM pages")
 def url_family(spark, d):
-    return _pages(spark, d).select("page_id", U.family(u).alias("family"))
+    return _pages(spark, d).select("page_id", U.family(F.col("url")).alias("family"))
 
 
 @query(f"SELECT page_id, {D.sql_canonical('url')} AS canonical FROM pages")
 def url_canonical(spark, d):
-    return _pages(spark, d).select("page_id", U.canonical(u).alias("canonical"))
+    return _pages(spark, d).select("page_id", U.canonical(F.col("url")).alias("canonical"))
 
 
 _LOC = "(?i)^((?:/(?:[a-z]{2}[-_])?[a-z]{2}(?:[-_][a-z]{2})?){1,2})(?:/|$)"
@@ -47,12 +47,12 @@ _LOC = "(?i)^((?:/(?:[a-z]{2}[-_])?[a-z]{2}(?:[-_][a-z]{2})?){1,2})(?:/|$)"
 
 @query(f"SELECT page_id, regexp_extract({D.sql_path('url')}, '{_LOC}', 1) AS locale FROM pages")
 def url_locale(spark, d):
-    return _pages(spark, d).select("page_id", U.locale(u).alias("locale"))
+    return _pages(spark, d).select("page_id", U.locale(F.col("url")).alias("locale"))
 
 
 def _flag(name, rx):
     def run(spark, d):
-        return D.link(spark, d).select("page_id", "pos", u.rlike(rx).alias("flag"))
+        return D.link(spark, d).select("page_id", "pos", F.col("url").rlike(rx).alias("flag"))
 
     run.__name__ = name
     query(D.with_("link") + f"SELECT page_id, pos, regexp_matches(url, {q(rx)}) AS flag FROM link")(run)
@@ -65,7 +65,7 @@ _flag("url_assets", P.ASSET)
 
 @query(D.with_("link") + f"SELECT page_id, pos, url FROM link WHERE {D.sql_bare('url')} = {D.sql_bare('base')} AND starts_with({D.sql_path('url')}, '/') AND NOT regexp_matches(url, {q(P.ASSET)})")
 def url_in_scope(spark, d):
-    return D.link(spark, d).where(U.in_scope(u, U.bare_host(F.col("base")), F.lit("/")) & ~U.is_asset(u)).select("page_id", "pos", "url")
+    return D.link(spark, d).where(U.in_scope(F.col("url"), U.bare_host(F.col("base")), F.lit("/")) & ~U.is_asset(F.col("url"))).select("page_id", "pos", "url")
 
 
 _RULES = [("plus", ""), ("[^a-z0-9]", "")]
@@ -78,13 +78,13 @@ def slug_key(spark, d):
 
 @query("SELECT page_id, left(sha256(url), 24) AS key FROM pages")
 def mirror_key(spark, d):
-    return _pages(spark, d).select("page_id", U.mirror_key(u).alias("key"))
+    return _pages(spark, d).select("page_id", U.mirror_key(F.col("url")).alias("key"))
 
 
 def ranked_patterns(site, most=25, kept=15, samples=3):
     """Url patterns by frequency (ties: first seen), editorial ones last, with their first urls."""
     seen = Window.partitionBy("pattern").orderBy("pos")
-    s = site.withColumn("pattern", U.pattern(u)).withColumn("rn", F.row_number().over(seen))
+    s = site.withColumn("pattern", U.pattern(F.col("url"))).withColumn("rn", F.row_number().over(seen))
     g = s.groupBy("pattern").agg(F.count(F.lit(1)).alias("count"), F.min("pos").alias("first_pos"), F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("rn") <= samples, F.struct("pos", "url")))), lambda x: x["url"]), " ").alias("samples"))
     g = g.orderBy(F.desc("count"), "first_pos").limit(most).withColumn("editorial", F.col("pattern").rlike(P.EDITORIAL))
     return g.orderBy("editorial", F.desc("count"), "first_pos").limit(kept).select("pattern", "count", "editorial", "samples")
@@ -103,7 +103,7 @@ def site_patterns(spark, d):
 
 @query(D.with_("site") + "SELECT pos, url FROM site WHERE regexp_matches(url, '(?i)/en/|page=2')")
 def sitemap_filter(spark, d):
-    return D.site(spark, d).where(u.rlike("(?i)/en/|page=2"))
+    return D.site(spark, d).where(F.col("url").rlike("(?i)/en/|page=2"))
 
 
 @query(D.with_("link") + f"SELECT url, min(page_id * 1000 + pos) AS first_pos FROM link GROUP BY 1")
@@ -124,7 +124,7 @@ def spread(df, by, order, n):
 r AS (SELECT *, row_number() OVER (PARTITION BY pattern ORDER BY pos) - 1 AS i, count(*) OVER (PARTITION BY pattern) AS n FROM p)
 SELECT pattern, i::INTEGER AS i, url FROM r WHERE i IN (n * 1 // 6, n * 2 // 6, n * 3 // 6, n * 4 // 6, n * 5 // 6)""")
 def spread_sample(spark, d):
-    return spread(D.site(spark, d).withColumn("pattern", U.pattern(u)), "pattern", "pos", 5).select("pattern", "i", "url")
+    return spread(D.site(spark, d).withColumn("pattern", U.pattern(F.col("url"))), "pattern", "pos", 5).select("pattern", "i", "url")
 
 
 @query(D.with_("link") + f""", x AS (SELECT DISTINCT page_id, url FROM link WHERE NOT regexp_matches(url, {q(P.LISTING_WORDS)})),
@@ -132,7 +132,7 @@ r AS (SELECT page_id, url, row_number() OVER (PARTITION BY page_id ORDER BY len(
 SELECT * FROM r WHERE rank <= 3""")
 def listing_urls(spark, d):
     """The three shallowest, shortest urls of each page that are not listings themselves."""
-    x = D.link(spark, d).select("page_id", "url").where(~u.rlike(P.LISTING_WORDS)).distinct()
+    x = D.link(spark, d).select("page_id", "url").where(~F.col("url").rlike(P.LISTING_WORDS)).distinct()
     w = Window.partitionBy("page_id").orderBy(F.size(F.split("url", "/")), F.length("url"), "url")
     return x.withColumn("rank", F.row_number().over(w)).where("rank <= 3")
 
@@ -149,7 +149,7 @@ def sitemap_union(spark, d):
 k AS (SELECT host, digest, max(ts) AS ts FROM c GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY host ORDER BY ts DESC)::INTEGER AS rank FROM k) SELECT * FROM r WHERE rank <= 4""")
 def captures_topn(spark, d):
     """The newest four captures of each host, equal bodies once."""
-    k = _pages(spark, d).groupBy(U.host(u).alias("host"), F.md5("html").alias("digest")).agg(F.max("page_id").alias("ts"))
+    k = _pages(spark, d).groupBy(U.host(F.col("url")).alias("host"), F.md5("html").alias("digest")).agg(F.max("page_id").alias("ts"))
     return k.withColumn("rank", F.row_number().over(Window.partitionBy("host").orderBy(F.desc("ts")))).where("rank <= 4")
 
 
@@ -179,19 +179,19 @@ def cache_todo(spark, d):
 @query("WITH " + D.SQL["mirror"] + f""", j AS (SELECT {D.sql_host('s.url')} AS host, m.url IS NOT NULL AS done FROM site s LEFT JOIN mirror m ON s.url = m.url)
 SELECT host, count(*) AS total, count(*) FILTER (done) AS fetched, ((count(*) - count(*) FILTER (done)) * 5)::BIGINT AS eta_seconds FROM j GROUP BY 1""")
 def cache_status(spark, d):
-    j = D.site(spark, d).join(D.mirror(spark, d).select("url", F.lit(True).alias("done")), "url", "left").withColumn("host", U.host(u))
+    j = D.site(spark, d).join(D.mirror(spark, d).select("url", F.lit(True).alias("done")), "url", "left").withColumn("host", U.host(F.col("url")))
     return j.groupBy("host").agg(F.count(F.lit(1)).alias("total"), F.count("done").alias("fetched"), ((F.count(F.lit(1)) - F.count("done")) * 5).alias("eta_seconds"))
 
 
 @query(D.with_("link") + f"SELECT page_id, count(DISTINCT {D.sql_path('url')}) >= 10 AS listing FROM link WHERE {D.sql_bare('url')} = {D.sql_bare('base')} GROUP BY 1")
 def is_listing(spark, d):
-    l = D.link(spark, d).where(U.bare_host(u) == U.bare_host(F.col("base")))
-    return l.groupBy("page_id").agg((F.count_distinct(U.path(u)) >= 10).alias("listing"))
+    l = D.link(spark, d).where(U.bare_host(F.col("url")) == U.bare_host(F.col("base")))
+    return l.groupBy("page_id").agg((F.count_distinct(U.path(F.col("url"))) >= 10).alias("listing"))
 
 
 @query(D.with_("link") + "SELECT DISTINCT page_id, url FROM link WHERE regexp_matches(url, '/[0-9A-Za-z]+/?$')")
 def links_in_family(spark, d):
-    return D.link(spark, d).where(u.rlike(U.family_regex("/<n>"))).select("page_id", "url").distinct()
+    return D.link(spark, d).where(F.col("url").rlike(U.family_regex("/<n>"))).select("page_id", "url").distinct()
 
 
 _OWN = f"""SELECT DISTINCT l.page_id, {D.sql_host('l.url')} AS host FROM link l"""
@@ -200,7 +200,7 @@ _OWN = f"""SELECT DISTINCT l.page_id, {D.sql_host('l.url')} AS host FROM link l"
 @query(D.with_("site") + f", h AS (SELECT DISTINCT {D.sql_host('url')} AS host FROM site) SELECT a.host, b.host AS own FROM h a JOIN h b ON a.host <> b.host AND length(replace(split_part(regexp_replace(a.host, '^www\\.', ''), '.', 1), '-', '')) >= 3 AND regexp_replace(a.host, '^[^.]*\\.', '') = regexp_replace(b.host, '^[^.]*\\.', '') AND contains(b.host, replace(split_part(regexp_replace(a.host, '^www\\.', ''), '.', 1), '-', ''))")
 def own_hosts(spark, d):
     """Other hosts of the same domain whose name holds the first label of a host."""
-    h = D.site(spark, d).select(U.host(u).alias("host")).distinct().withColumn("domain", F.regexp_replace("host", r"^[^.]*\.", ""))
+    h = D.site(spark, d).select(U.host(F.col("url")).alias("host")).distinct().withColumn("domain", F.regexp_replace("host", r"^[^.]*\.", ""))
     label = F.replace(F.split_part(F.regexp_replace("host", r"^www\.", ""), F.lit("."), F.lit(1)), F.lit("-"), F.lit(""))
     other = h.select(F.col("host").alias("own"), "domain")
     j = h.withColumn("label", label).where(F.length("label") >= 3).join(other, "domain")
