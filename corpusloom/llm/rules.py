@@ -126,9 +126,11 @@ def _inverted(groups: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     floor = np.diag(np.array(list(FEATURES.values())) ** 2)
     for g in groups:
         g = g[g["n"] > 0]
+        if not len(g):
+            continue
         n = g["n"].to_numpy(dtype=float)
-        first = np.stack([np.asarray(x, dtype=float) for x in g["s1"]]) / GRID if len(g) else np.zeros((0, d))
-        second = np.stack([np.asarray(x, dtype=float) for x in g["s2"]]) / GRID**2 if len(g) else np.zeros((0, d * (d + 1) // 2))
+        first = np.stack([np.asarray(x, dtype=float) for x in g["s1"]]) / GRID
+        second = np.stack([np.asarray(x, dtype=float) for x in g["s2"]]) / GRID**2
         mean, inv = first / n[:, None], []
         i, j = np.triu_indices(d)
         for k in range(len(g)):
