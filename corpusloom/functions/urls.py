@@ -28,19 +28,19 @@ def url_query(url: Column) -> Column:
 
 
 def pattern(url: Column) -> Column:
-    """The shape of a url: digits become N, the last of several segments *."""
-    trimmed = F.rtrim(path(url), F.lit("/"))
-    parts = F.split(F.regexp_replace(F.when(trimmed == "", "/").otherwise(trimmed), r"\d+", "N"), "/")
-    shaped = F.when(F.size(parts) > 2, F.concat(F.slice(parts, F.lit(1), F.size(parts) - 1), F.array(F.lit("*")))).otherwise(parts)
-    return F.substring(F.array_join(shaped, "/"), 1, 200)
+    """The shape of a url: digits become N, the last of several segments *. One chain: no part is written, or run, twice."""
+    out = path(url)
+    for rx, to in ((r"/+$", ""), (r"^$", "/"), (r"\d+", "N"), (r"^(/.*/)[^/]*$", "$1*")):
+        out = F.regexp_replace(out, rx, to)
+    return F.substring(out, 1, 200)
 
 
 def family(url: Column) -> Column:
     """Path and query with number-bearing and Roman tokens as <n>; the pattern where there are none."""
-    q = url_query(url)
-    whole = F.concat(path(url), F.when(q != "", F.concat(F.lit("?"), q)).otherwise(""))
-    shape = F.regexp_replace(F.regexp_replace(whole, r"[0-9][0-9A-Za-z]*", "<n>"), P.ROMAN, "<n>")
-    return F.when(shape.contains("<n>"), shape).otherwise(pattern(url))
+    shape = url
+    for rx, to in ((r"^[^:/?#]+://[^/?#]*", ""), (r"#.*$", ""), (r"\?$", ""), (r"[0-9][0-9A-Za-z]*", "<n>"), (P.ROMAN, "<n>")):
+        shape = F.regexp_replace(shape, rx, to)
+    return F.coalesce(F.nullif(F.regexp_extract(shape, "^.*<n>.*$", 0), F.lit("")), pattern(url))
 
 
 def canonical(url: Column) -> Column:
