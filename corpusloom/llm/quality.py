@@ -23,7 +23,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -114,14 +113,14 @@ def fit(docs: DataFrame, labels: DataFrame, orders: tuple[int, ...] = ORDERS) ->
 def weight(ratios: np.ndarray, orders: tuple[int, ...] = ORDERS):
     """A column function: the log importance weight of a text."""
 
-    @F.pandas_udf("double")
-    def of(texts: pd.Series) -> pd.Series:
-        data, off = T.buffers(pa.array(texts, pa.large_string()))
+    @F.arrow_udf("double")  # texts stay in Arrow buffers: no Python strings are made
+    def of(texts: pa.Array) -> pa.Array:
+        data, off = T.buffers(texts)
         out = np.zeros(len(texts))
         for lo, hi, part, o in T.slices(data, off):
             row, bucket = ngrams(part, o, orders)
             out[lo:hi] = np.bincount(row, ratios[bucket].astype(np.float64), minlength=hi - lo)
-        return pd.Series(out)
+        return pa.array(out)
 
     return of
 
