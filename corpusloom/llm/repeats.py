@@ -276,7 +276,8 @@ def without_repeats(docs: DataFrame, keep_bytes: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and (if asked for) the kept bytes of every document."""
     texts = docs.select(F.col("doc_id").cast("long"), "text")
     segs = anchored(texts)
-    often = segs.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor")
+    # written first: with two plain exchanges below the join, adaptive execution can split an anchor with very many rows
+    often = stage(segs.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor"), "anchors")
     repeated = stage(segs.join(often, "anchor"), "repeated")
     place = F.struct("doc_id", "start")
     kinds = stage(repeated.groupBy("anchor", "seg").agg(F.min(place).alias("first"), F.max("len").alias("len"), F.count(F.lit(1)).alias("n")), "kinds")
