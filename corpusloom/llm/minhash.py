@@ -142,10 +142,11 @@ def clusters(docs: DataFrame, width: int = 5, percent: int = PERCENT) -> DataFra
     usable = signed.where("doc_id is not null and n_shingles > 0")
     nodes = stage(usable.groupBy("fa", "fb").agg(F.min("doc_id").alias("node"), F.min_by("tokens", "doc_id").alias("tokens")), "nodes")
     posted = nodes.select("node", F.explode("tokens").alias("token"))
-    often = posted.groupBy("token").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    # written first: with two plain exchanges below the join, adaptive execution can split a token with very many rows
+    often = stage(posted.groupBy("token").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "tokens")
     kept = posted.join(often, "token").groupBy("node").agg(F.sort_array(F.collect_set(F.struct("n", "token"))).alias("t")).where(F.size("t") >= MATCHES)
     prefix = stage(kept.select("node", F.explode(F.slice("t", F.lit(1), F.size("t") - (MATCHES - 1))).alias("t")).select("node", F.col("t.token").alias("token")), "prefix")
-    pivot = prefix.groupBy("token").agg(F.min("node").alias("pivot"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    pivot = stage(prefix.groupBy("token").agg(F.min("node").alias("pivot"), F.count(F.lit(1)).alias("n")).where("n > 1"), "pivots")
     ties = prefix.join(pivot, "token").where("node != pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b"))
     blocks = components(ties)
     parts = blocks.groupBy("label").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("parts"))
