@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from corpusloom.llm.shared import stage
 
 SAMPLE, TREES, DEPTH = 20_000, 16, 6
-SHARE, FLOOR, CHUNK, SALTS = 0.6, 16_384, 20_000, 32
+SHARE, FLOOR, CHUNK, SALTS = 0.8, 16_384, 20_000, 32
 
 
 class Forest:
