@@ -59,10 +59,11 @@ def not_content(text: Column) -> Column:
     top = F.array_max(F.transform(F.array_distinct(words), lambda w: F.size(F.filter(words, lambda x: x == w))))
     ref = F.when(F.length(F.regexp_replace(text, r"[^\p{Ll}]", "")) * 2 > letters, text).otherwise(low)
     stubs = F.size(F.filter(F.regexp_extract_all(ref, F.lit("[A-Za-z]+"), F.lit(0)), lambda w: w.isin(*P.STUBS)))
-    count_t = F.length(ref) - F.length(F.replace(ref, F.lit("t"), F.lit("")))
-    few = (letters > 80) & (count_t * 500 < letters) & (stubs >= 2)
-    # the word shares are the dear part: they are taken only where the cheap tests already speak against the text
+    count_t = lambda c: F.length(c) - F.length(F.replace(c, F.lit("t"), F.lit("")))
+    few = (letters > 80) & (count_t(ref) * 500 < letters) & (stubs >= 2)
+    # cheapest first: a text with enough t's as it stands has enough whichever way it is counted; word shares come last
     damaged = F.when(few, F.coalesce(top * 100 < F.size(words) * 15, F.lit(True))).otherwise(F.lit(False))
+    damaged = F.when(count_t(text) * 500 < F.length(text), damaged).otherwise(F.lit(False))
     return F.when(F.substring(text, 1, 6000).rlike(P.CHROME), "chrome").when(damaged, "letters missing").otherwise("")
 
 
