@@ -12,7 +12,7 @@ all rows share is split), since only those can be among the nearest. ``SHARE`` i
 need it: see the README for measured recall.
 
 Cases: vectors that are null, zero, hold null or non-finite components, or have another length than most, and rows
-without an id take no part; fewer candidates than asked give fewer rows; ties go to the smaller id; extra columns are
+without an id take no part; fewer candidates than asked give fewer rows; ties go to the smaller id; repeated ids count once; extra columns are
 ignored; an empty table gives an empty result.
 """
 
@@ -148,7 +148,8 @@ def nearest(vectors: DataFrame, k: int = 5, modulus: int = 50, share: float = SH
     """query_id, rank, vec_id, score: the ``k`` nearest found of each row whose id is divisible by ``modulus``."""
     spark = vectors.sparkSession
     empty = "query_id long, rank int, vec_id long, score double"
-    rows = stage(usable(vectors), "vectors")
+    # an id that is there twice has one vector, the smallest
+    rows = stage(usable(vectors).groupBy("vec_id").agg(F.min("v").alias("v")), "vectors")
     # the k + 1 smallest ids of each distinct vector, in two steps
     few = lambda d, *by: d.withColumn("r", F.row_number().over(Window.partitionBy(*by).orderBy("vec_id"))).where(f"r <= {k + 1}").drop("r")
     salted = few(rows.withColumn("salt", F.pmod(F.xxhash64("vec_id"), F.lit(SALTS))), "v", "salt")

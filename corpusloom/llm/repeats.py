@@ -221,7 +221,8 @@ def _marks(doc: np.ndarray, start: np.ndarray) -> pd.DataFrame:
 
 
 def _indexed(rows: pd.DataFrame) -> pd.DataFrame:
-    rows = rows.sort_values(["doc_id", "start"], kind="stable")
+    # a row that is there twice has one place, not an earlier one
+    rows = rows.drop_duplicates(["anchor", "doc_id", "start"]).sort_values(["doc_id", "start"], kind="stable")
     doc, start = rows["doc_id"].to_numpy(), rows["start"].to_numpy()
     which, offset = RunIndex(rows["body"].tolist()).earlier()
     return _marks(doc[which], start[which] + offset)
