@@ -23,7 +23,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5, 2, 1)
 SHARE, CAP, SEED = 1.5, 2.0, "mix-1"
 #: Documents whose ids agree but for this many low bits form a block.
-BLOCK_BITS = 16
+BLOCK_BITS = 12
 
 
 def word_count(text="text"):
