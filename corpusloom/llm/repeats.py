@@ -48,8 +48,9 @@ def _prefix(data: np.ndarray) -> np.ndarray:
     return total
 
 
-def segments(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Row, start in the slice, length, anchor and hash of every segment of a slice of texts (below 8 MB)."""
+def segments(data: np.ndarray, off: np.ndarray, only_anchors: bool = False) -> tuple[np.ndarray, ...]:
+    """Row, start in the slice, length, anchor and hash of every segment of a slice of texts (below 8 MB); or, without
+    the cost of the rest, just the anchors in their place."""
     windows = len(data) - LENGTH + 1
     z = np.zeros(0, dtype=np.int64)
     if windows <= 0:
@@ -75,7 +76,10 @@ def segments(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, ...]:
     first, last = valid.copy(), valid.copy()
     first[1:] &= ~valid[:-1] | change
     last[:-1] &= ~valid[1:] | change
-    s, e = np.flatnonzero(first), np.flatnonzero(last) + LENGTH
+    s = np.flatnonzero(first)
+    if only_anchors:
+        return z, z, z, gram[at[s]], z
+    e = np.flatnonzero(last) + LENGTH
     with np.errstate(over="ignore"):
         whole = T.mix(T.mix((total[e] - total[s]) * inverse[s]) + (e - s).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
     return np.searchsorted(off, s, side="right") - 1, s, e - s, gram[at[s]], whole
@@ -85,23 +89,47 @@ _SEGMENT = pa.schema([("anchor", pa.int64()), ("seg", pa.int64()), ("doc_id", pa
 _SEGMENT_SQL = "anchor long, seg long, doc_id long, start long, len int"
 
 
+def _pieces(b: pa.RecordBatch) -> Iterator[tuple[int, int, int, np.ndarray, np.ndarray, np.ndarray]]:
+    """Rows lo to hi of a batch in slices, a longer row in overlapping blocks: lo, hi, block start, bytes, offsets of the
+    bytes, offsets of the rows."""
+    data, off = T.buffers(b.column("text"))
+    step = 4 << 20
+    for lo, hi, part, o in T.slices(data, off, 2 << 20):
+        for block in range(0, max(1, len(part)), step):  # one block, but for a row longer than that
+            piece = part[block : block + step + LENGTH - 1]
+            yield lo, hi, block, piece, o if len(part) <= step else np.array([0, len(piece)]), o
+
+
+def _anchor_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for _, _, _, piece, inside, _ in _pieces(b):
+            anchor = segments(piece, inside, only_anchors=True)[3]
+            if len(anchor):
+                yield pa.RecordBatch.from_arrays([pa.array(anchor.view(np.int64))], names=["anchor"])
+
+
 def _segment_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        data, off = T.buffers(b.column("text"))
         ids = b.column("doc_id").to_numpy(zero_copy_only=False)
-        for lo, hi, part, o in T.slices(data, off, 2 << 20):
-            step = 4 << 20
-            for block in range(0, max(1, len(part)), step):  # one block, but for a row longer than that
-                piece = part[block : block + step + LENGTH - 1]
-                row, s, n, anchor, whole = segments(piece, o if len(part) <= step else np.array([0, len(piece)]))
-                if len(s):
-                    arrays = [anchor.view(np.int64), whole.view(np.int64), ids[lo:hi][row], s + block - o[row], n.astype(np.int32)]
-                    yield pa.RecordBatch.from_arrays([pa.array(a) for a in arrays], schema=_SEGMENT)
+        for lo, hi, block, piece, inside, o in _pieces(b):
+            row, s, n, anchor, whole = segments(piece, inside)
+            if len(s):
+                arrays = [anchor.view(np.int64), whole.view(np.int64), ids[lo:hi][row], s + block - o[row], n.astype(np.int32)]
+                yield pa.RecordBatch.from_arrays([pa.array(a) for a in arrays], schema=_SEGMENT)
+
+
+def _usable(docs: DataFrame) -> DataFrame:
+    return docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long"), "text")
 
 
 def anchored(docs: DataFrame) -> DataFrame:
     """anchor, seg, doc_id, start, len of every segment of every text."""
-    return docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long"), "text").mapInArrow(_segment_batches, _SEGMENT_SQL)
+    return _usable(docs).mapInArrow(_segment_batches, _SEGMENT_SQL)
+
+
+def anchors(docs: DataFrame) -> DataFrame:
+    """The anchor of every segment, alone."""
+    return _usable(docs).mapInArrow(_anchor_batches, "anchor long")
 
 
 class RunIndex:
@@ -278,7 +306,7 @@ def without_repeats(docs: DataFrame, keep_bytes: bool = False) -> DataFrame:
     texts = docs.select(F.col("doc_id").cast("long"), "text")
     segs = anchored(texts)
     # written first: with two plain exchanges below the join, adaptive execution can split an anchor with very many rows
-    often = stage(segs.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor"), "anchors")
+    often = stage(anchors(texts).groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor"), "anchors")
     repeated = stage(segs.join(often, "anchor"), "repeated")
     place = F.struct("doc_id", "start")
     kinds = stage(repeated.groupBy("anchor", "seg").agg(F.min(place).alias("first"), F.max("len").alias("len"), F.count(F.lit(1)).alias("n")), "kinds")
