@@ -64,7 +64,7 @@ class Engine:
         l = self.table("pages").select(F.xxhash64("url").alias("page_id"), F.col("url").alias("base"), F.inline("links"))
         return L.link_families(l).groupBy("base", "family").agg(F.count(F.lit(1)).alias("links"))
 
-    def scout(self, host: str) -> DataFrame:
+    def explore(self, host: str) -> DataFrame:
         """Patterns of a host with the recipes that are known for it."""
         known = self.table("recipes").where(F.startswith("name", F.lit(host + "/"))).agg(F.array_join(F.sort_array(F.collect_list("name")), ", ").alias("recipes"))
         return self.site_map(host=host).withColumn("recipes", F.lit(known.first()["recipes"]))

@@ -22,7 +22,7 @@ def test_tools(engine):
     steps = [{"reach": "https://a.com/p/{input}"}, {"extract": {"price": "^price: ([0-9.]+)"}}]
     assert engine.compile("a.com/price", steps, ["1", "9"], 1.0)[0] == "TEST_FAILED" and engine.compile("a.com/price", steps, ["1", "2"], 1.0) == ("", "")
     assert [r["line"][-10:] for r in engine.run("a.com/price", ["3"]).collect()] == ["price=3.00"] and engine.run("none.com/x", ["3"]).first()["code"] == "NO_RECIPE"
-    assert engine.scout("a.com").first()["recipes"] == "a.com/price" and engine.recipes().first()["score"] == 0.5
+    assert engine.explore("a.com").first()["recipes"] == "a.com/price" and engine.recipes().first()["score"] == 0.5
     engine.hold("a.com", "asked to", 5.0)
     assert engine.hold("a.com", "", 6.0, lift=True).first()["hold_reason"] is None and engine.memory("a.com").count() == 1
     engine.propose("listing_path", "/products", note="n")
