@@ -40,6 +40,15 @@ BASE = (
     Rule("access", r"AKIA[A-Z0-9]+", 0, 16),
     Rule("hex", r"[0-9a-f]{32,}", 0, 32),  # the runs of [0-9a-f] that are long enough
 )
+_GAP = r"""(?:[\s"']|\\[nrt])"""
+#: A private key whole: to the END line that closes it, or else over its headers and lines of base64, the last of which may
+#: be short. Line breaks may be spelt as \n. No part is tried twice, so a text with many BEGIN lines stays linear.
+PRIVATE_KEY = (
+    "-----BEGIN [A-Z ]{0,24}PRIVATE KEY-----"
+    "(?:[^-]*+(?:-(?!----(?:BEGIN|END) )[^-]*+)*+-----END [A-Z ]{0,24}PRIVATE KEY-----"
+    f"|(?:{_GAP}*+(?:Proc-Type|DEK-Info|Comment):[^\\r\\n\\\\]*+)*+"
+    f"(?:(?:{_GAP}*+[A-Za-z0-9+/=]{{16,}}+)++(?:{_GAP}++[A-Za-z0-9+/]+={{0,2}}[ \\t]*+(?![^\\r\\n\\\\\"']))?)?)"
+)
 #: Formats of further credentials.
 ADDED = (
     Rule("forge_token", r"gh[pousr]_[A-Za-z0-9]{36,}", 0, 40),
@@ -49,9 +58,9 @@ ADDED = (
     Rule("payment_key", r"[rs]k_(?:live|test)_[A-Za-z0-9]{16,}", 0, 24),
     Rule("package_token", r"npm_[A-Za-z0-9]{36}", 0, 40),
     Rule("mail_key", r"SG\.[A-Za-z0-9_-]{22}\.[A-Za-z0-9_-]{43}", 0, 69),
-    Rule("private_key", r"-----BEGIN [A-Z ]{0,24}PRIVATE KEY-----", 0, 27),
+    Rule("private_key", PRIVATE_KEY, 0, 27),
     Rule("signed_token", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", 0, 30),
-    Rule("url_password", r"\b[a-z][a-z0-9+]{1,15}://[^\s/:@]{1,64}:[^\s/:@]{1,64}@", 0, 8),
+    Rule("url_password", r"\b[a-z][a-z0-9+]{1,15}://[^\s/:@]+:[^\s/:@]+@", 0, 8),
     Rule("bearer", r"(?i:authorization)\x20?[:=]\x20*(?i:bearer)\x20+[A-Za-z0-9._~+/-]{16,}", 0, 24),
     Rule("temporary_access", r"ASIA[A-Z0-9]{16,}", 0, 20),
 )
@@ -293,8 +302,10 @@ def redacted(docs: DataFrame) -> DataFrame:
     """``docs`` with every secret in ``text`` replaced; n_chars, where it is a column, follows. Null texts stay null.
 
     One replacement after the other, each linear in the text; a rule with a trigram query runs on its candidates only.
+    Private keys come first: another rule may take a part of the BEGIN line or of the body, which would hide the rest.
     """
-    rules = F.array(*[F.struct(F.lit(1 << i if queries()[i] else 0).cast("long").alias("bit"), F.lit(_replaced(r)).alias("rx")) for i, r in enumerate(RULES)])
+    order = sorted(enumerate(RULES), key=lambda x: x[1].kind != "private_key")
+    rules = F.array(*[F.struct(F.lit(1 << i if queries()[i] else 0).cast("long").alias("bit"), F.lit(_replaced(r)).alias("rx")) for i, r in order])
     out = with_candidates(docs.select(F.struct("*").alias("ss_doc"), "doc_id", "text"))
     due = F.filter(rules, lambda r: F.col("ss_rules").bitwiseAND(r["bit"]) == r["bit"])
     out = out.select("ss_doc", F.aggregate(due, F.col("text"), lambda t, r: F.regexp_replace(t, r["rx"], F.lit(MASK))).alias("ss_text"))
