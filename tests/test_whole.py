@@ -1,0 +1,26 @@
+"""Queries that read the whole of their tables, against plain versions."""
+
+import os
+import random
+import re
+
+import pytest
+from pyspark.sql import functions as F
+
+from corpusloom import plans
+from corpusloom.plans import derive as D
+from corpusloom.plans import host_queries
+
+DATA = "/root/testdata/sf0.001"
+QUERIES, _ = plans.load()
+pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables here")
+
+
+def rows(df, *cols):
+    return sorted(tuple(r[c] for c in cols) for r in df.collect())
+
+
+def test_move_scope(spark):
+    moves, hosts = D.move(spark, DATA).select("id", "scope").collect(), {r[0] for r in D.attempt(spark, DATA).select("host").collect()}
+    want = sorted((i, h) for i, s in moves for h in hosts if s in ("*", h) or h.endswith("." + s))
+    assert rows(QUERIES["move_scope"](spark, DATA), "id", "host") == want and any(i % 10 for i, _ in want)
