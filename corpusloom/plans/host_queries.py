@@ -212,19 +212,28 @@ def seed_merge(spark, d):
     return b.unionByName(l).groupBy("k").agg(F.min_by("v", "rank").alias("v"))
 
 
+def best_paths(m: DataFrame, n: int = 8) -> DataFrame:
+    """Locale prefixes times listing roots, and whole paths, the ``n`` best. Equal parts are merged first (the best score of each).
+
+    Exact without the whole product: after one prefix, roots stand in the order of score and spec, so only the first ``n`` can
+    be in the result; a prefix with ``n`` of higher score above it cannot, whichever its root. Equal prefixes all stay, as
+    the order of whole paths is not that of prefixes. The product has ``n`` rows for each prefix at most.
+    """
+    best = m.groupBy("kind", "spec").agg(F.max("score").alias("score"))
+    prefixes = best.where("kind = 'locale_prefix'").select(F.col("spec").alias("prefix"), F.col("score").alias("ps"))
+    roots = best.where("kind = 'listing_root'").orderBy(F.desc("score"), "spec").limit(n).select(F.col("spec").alias("root"), F.col("score").alias("rs"))
+    least = prefixes.orderBy(F.desc("ps")).limit(n).agg(F.min("ps").alias("least"))
+    pairs = prefixes.join(F.broadcast(least), F.col("ps") >= F.col("least")).crossJoin(F.broadcast(roots))
+    both = pairs.select(F.concat("prefix", "root").alias("path"), (F.col("ps") * F.col("rs")).alias("score"))
+    both = both.unionByName(best.where("kind = 'listing_path'").select(F.col("spec").alias("path"), "score"))
+    return both.groupBy("path").agg(F.max("score").alias("score")).orderBy(F.desc("score"), "path").limit(n)
+
+
 @query(M + f""", p AS (SELECT spec AS prefix, {_SCORE} AS ps FROM move WHERE kind = 'locale_prefix' AND id <= 200), r AS (SELECT spec AS root, {_SCORE} AS rs FROM move WHERE kind = 'listing_root' AND id <= 200),
 c AS (SELECT prefix || root AS path, ps * rs AS score FROM p, r UNION ALL SELECT spec, {_SCORE} FROM move WHERE kind = 'listing_path' AND id <= 200),
 g AS (SELECT path, max(score) AS score FROM c GROUP BY 1) SELECT path, score FROM g ORDER BY score DESC, path LIMIT 8""")
 def listing_candidates(spark, d):
-    """Locale prefixes times listing roots, and whole paths, best first. Equal parts are merged first (the best score of
-    each), so the product is of distinct parts of one host's register: a bounded list of lists."""
-    m = score(D.move(spark, d)).where("id <= 200")
-    parts = lambda kind: F.collect_list(F.when(F.col("kind") == kind, F.struct("spec", "score")))
-    best = m.groupBy("kind", "spec").agg(F.max("score").alias("score"))
-    one = best.agg(parts("locale_prefix").alias("p"), parts("listing_root").alias("r"))
-    pairs = F.flatten(F.transform("p", lambda p: F.transform("r", lambda r: F.struct(F.concat(p["spec"], r["spec"]).alias("path"), (p["score"] * r["score"]).alias("score")))))
-    both = one.select(F.explode(pairs).alias("x")).select("x.*").unionByName(best.where("kind = 'listing_path'").select(F.col("spec").alias("path"), "score"))
-    return both.groupBy("path").agg(F.max("score").alias("score")).orderBy(F.desc("score"), "path").limit(8)
+    return best_paths(score(D.move(spark, d)))
 
 
 @query(A + f"SELECT 'failures' AS what, count(*) AS n FROM attempt WHERE {_BAD} UNION ALL SELECT 'hosts', count(DISTINCT host) FROM attempt UNION ALL SELECT 'readers', count(DISTINCT reader) FROM attempt")

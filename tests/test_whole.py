@@ -24,3 +24,22 @@ def test_move_scope(spark):
     moves, hosts = D.move(spark, DATA).select("id", "scope").collect(), {r[0] for r in D.attempt(spark, DATA).select("host").collect()}
     want = sorted((i, h) for i, s in moves for h in hosts if s in ("*", h) or h.endswith("." + s))
     assert rows(QUERIES["move_scope"](spark, DATA), "id", "host") == want and any(i % 10 for i, _ in want)
+
+
+def best_paths(moves, n=8):
+    best = {}
+    of = lambda kind: [(s, x) for k, s, x in moves if k == kind]
+    for path, x in [(p + r, a * b) for p, a in of("locale_prefix") for r, b in of("listing_root")] + of("listing_path"):
+        best[path] = max(best.get(path, 0), x)
+    return sorted(best.items(), key=lambda x: (-x[1], x[0]))[:n]
+
+
+def test_listing_candidates(spark):
+    kinds, got = ["locale_prefix", "listing_root", "listing_path"], lambda df: [tuple(r) for r in df.select("path", "score").collect()]
+    for seed in range(6):
+        rnd = random.Random(seed)
+        # few scores and letters: many ties, equal specs, and specs that begin another
+        moves = [(rnd.choice(kinds), "/" + "".join(rnd.choices("ab", k=rnd.randint(0, 5))), rnd.randint(1, 1 + seed) / 7) for _ in range(20 + 30 * seed)]
+        assert got(host_queries.best_paths(spark.createDataFrame(moves, "kind string, spec string, score double"))) == best_paths(moves)
+    m = host_queries.score(D.move(spark, f"{DATA}/../sf0.01"))
+    assert got(QUERIES["listing_candidates"](spark, f"{DATA}/../sf0.01")) == best_paths([(r["kind"], r["spec"], r["score"]) for r in m.collect()])
