@@ -143,7 +143,7 @@ def block_text(spark, d):
 @query("SELECT doc_id, text FROM documents WHERE regexp_matches(text, '^[\\x00-\\xFF]*$') AND doc_id % 2 = 0 AND NOT regexp_matches(text, '[\\x80-\\x9F]')")
 def decode_text(spark, d):
     """Latin texts written in a one-byte charset come back as they were."""
-    t = D.table(spark, d, "documents").where(F.col("text").rlike(r"^[\x00-\xFF]*$") & (F.col("doc_id") % 2 == 0) & ~F.col("text").rlike(r"[\x80-\x9F]"))
+    t = D.table(spark, d, "documents").where(F.col("text").rlike(r"^[\x00-\xFF]*$") & ~F.col("text").rlike(r"[\x80-\x9F]"))
     return t.select("doc_id", H.decoded(F.encode("text", "ISO-8859-1"), F.lit("text/html; charset=iso-8859-1")).alias("text"))
 
 

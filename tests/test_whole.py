@@ -43,3 +43,9 @@ def test_listing_candidates(spark):
         assert got(host_queries.best_paths(spark.createDataFrame(moves, "kind string, spec string, score double"))) == best_paths(moves)
     m = host_queries.score(D.move(spark, f"{DATA}/../sf0.01"))
     assert got(QUERIES["listing_candidates"](spark, f"{DATA}/../sf0.01")) == best_paths([(r["kind"], r["spec"], r["score"]) for r in m.collect()])
+
+
+def test_decode_text(spark):
+    texts = rows(spark.read.parquet(f"{DATA}/documents.parquet").where("text is not null"), "doc_id", "text")
+    want = [(i, t) for i, t in texts if re.fullmatch(r"[\x00-\x7f\xa0-\xff]*", t)]
+    assert rows(QUERIES["decode_text"](spark, DATA), "doc_id", "text") == want and any(i % 2 for i, _ in want)
