@@ -105,8 +105,7 @@ def reader_order(spark, d):
 @query(A + "SELECT user_id, count(*) >= 2 AND bool_and(outcome = 'refused') AS hold FROM attempt WHERE secs // 3600 % 24 = 12 GROUP BY 1")
 def silent_hold(spark, d):
     """Hold where two or more live reads were all refused silently."""
-    a = D.attempt(spark, d).where(F.floor(F.col("secs") / 3600) % 24 == 12)
-    return a.groupBy("user_id").agg(((F.count(F.lit(1)) >= 2) & F.bool_and(F.col("outcome") == "refused")).alias("hold"))
+    return D.attempt(spark, d).groupBy("user_id").agg(((F.count(F.lit(1)) >= 2) & F.bool_and(F.col("outcome") == "refused")).alias("hold"))
 
 
 @query(A + f"SELECT host, until FROM (SELECT host, max(secs) AS since, CASE WHEN max(k) % 2 = 0 THEN NULL ELSE max(secs) + max(k) * 3600 END AS until FROM attempt WHERE outcome = 'refused' GROUP BY 1) WHERE until IS NULL OR {D.NOW} < until")

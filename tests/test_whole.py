@@ -49,3 +49,10 @@ def test_decode_text(spark):
     texts = rows(spark.read.parquet(f"{DATA}/documents.parquet").where("text is not null"), "doc_id", "text")
     want = [(i, t) for i, t in texts if re.fullmatch(r"[\x00-\x7f\xa0-\xff]*", t)]
     assert rows(QUERIES["decode_text"](spark, DATA), "doc_id", "text") == want and any(i % 2 for i, _ in want)
+
+
+def test_silent_hold(spark, tmp_path):
+    hours = [(1, 12, "error"), (1, 12, "error"), (1, 3, "view"), (2, 3, "error"), (2, 4, "error"), (3, 5, "error"), (4, 12, "error"), (4, 12, "click")]
+    events = spark.createDataFrame([(i, u, f"2024-01-0{i % 7 + 1} {h:02}:30:00", e, '{"k": 1}', 1.0) for i, (u, h, e) in enumerate(hours)], "event_id long, user_id long, ts string, event_type string, props string, value double")
+    events.withColumn("ts", F.col("ts").cast("timestamp")).write.parquet(f"{tmp_path}/events.parquet")
+    assert rows(QUERIES["silent_hold"](spark, str(tmp_path)), "user_id", "hold") == [(1, False), (2, True), (3, False), (4, False)]
