@@ -118,8 +118,7 @@ def page_links(spark, d):
 
 @query("SELECT page_id, trim(regexp_replace(regexp_replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '&amp;', '&', 'g'), '\\s+', ' ', 'g')) AS title FROM pages WHERE regexp_matches(html, '<title>[^<&]*[A-Za-z0-9][^<&]*</title>')")
 def page_title(spark, d):
-    keep = D.table(spark, d, "pages").where(F.col("html").rlike("<title>[^<&]*[A-Za-z0-9][^<&]*</title>"))
-    return H.parse_pages(keep).select("page_id", "title")
+    return _parsed(spark, d).select("page_id", "title")
 
 
 @query()

@@ -110,7 +110,7 @@ def fetch_outcome(spark, d):
 
 @query(D.with_("text_page") + "SELECT doc_id, CASE WHEN length(title) % 2 = 0 THEN left(title, 20) ELSE left(title, 20) || ' | ' || 'Site ' || doc_id END AS name FROM text_page WHERE NOT contains(title, '|') AND NOT regexp_matches(left(title, 20), '^\\s|\\s$') AND left(title, 20) <> ''")
 def untail(spark, d):
-    p = D.text_page(spark, d).where(~F.contains("title", F.lit("|")) & ~F.substring("title", 1, 20).rlike(r"^\s|\s$") & (F.substring("title", 1, 20) != ""))
+    p = D.text_page(spark, d)
     named = F.concat(F.substring("title", 1, 20), F.when(F.length("title") % 2 == 0, F.lit("")).otherwise(F.concat(F.lit(" | Site "), F.col("doc_id").cast("string"))), F.lit(" | AB12345 | example.com"))
     return p.select("doc_id", X.untail(named, F.lit("example")).alias("name"))
 

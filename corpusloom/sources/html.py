@@ -61,7 +61,7 @@ class _Page(HTMLParser):
         if tag == "script":
             self.scripts += 1
             self.ld = [] if "ld+json" in (a.get("type") or "").lower() else None
-        if tag == "title" and self.title is None or tag in ("h1", "h2") and self.heading is None:
+        if tag == "title" and self.title is None or tag in ("h1", "h2") and self.heading is None and not DROPPED.intersection(self.open):
             self.capture = []
         if tag not in VOID:
             self.open.append(tag)
@@ -75,7 +75,7 @@ class _Page(HTMLParser):
             self.data.append("".join(self.ld))
             self.ld = None
         if self.capture is not None and tag in ("title", "h1", "h2"):
-            text = " ".join("".join(self.capture).split())
+            text = " ".join(("" if tag == "title" else " ").join(self.capture).split())
             if tag == "title":
                 self.title = text
             elif self.heading is None:
