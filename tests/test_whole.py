@@ -86,3 +86,10 @@ def test_untail(spark, tmp_path):
         named = lambda i, t: t[:20] + ("" if len(t) % 2 == 0 else f" | Site {i}") + " | AB12345 | example.com"
         want = {i: None if t is None else untail(named(i, t)) for i, t in titles.items()}
         assert {r["doc_id"]: r["name"] for r in QUERIES["untail"](spark, d).collect()} == want
+
+
+def test_learned_values_and_routes_of_all_customers(spark, tmp_path):
+    spark.createDataFrame([(1, 1, "Learned 1"), (2, 2, "Learned 2"), (400, 2, "Learned 0")], "c_custkey long, c_nationkey long, c_name string").write.parquet(f"{tmp_path}/customer.parquet")
+    spark.createDataFrame([(1, "Book 1"), (3, "Book 3")], "s_nationkey long, s_name string").write.parquet(f"{tmp_path}/supplier.parquet")
+    assert rows(QUERIES["seed_merge"](spark, str(tmp_path)), "k", "v") == [(1, "Learned 1"), (2, "Learned 0"), (3, "Book 3")]
+    assert rows(host_queries._access(spark, str(tmp_path)), "host", "key_id") == [("h1.example", 1), ("h2.example", 2), ("h4.example", 400)]
