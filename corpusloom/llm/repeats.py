@@ -8,9 +8,9 @@ segment is a run of windows with the same anchor position, about 120 bytes; a do
 2. Of equal segments the earliest place stays; every window of the others starts earlier there, so they are marked whole.
 3. What is left is anchors with several different segments (the borders of repeated passages): their bytes are fetched,
    one copy each, and dealt by anchor into buckets of bounded size. Each bucket is indexed: a run-compressed
-   Burrows-Wheeler transform of the segments in corpus order, with suffix-array samples at run ends. All segments are
-   streamed through it backwards, one symbol a step, by LF steps on runs; at every position the matching statistic against earlier text
-   says whether the next 100 bytes occur before. Buckets beyond ``BUCKET_ROWS`` because of one anchor go another exact way:
+   Burrows-Wheeler transform of the segments in corpus order. All segments are streamed through it backwards, one symbol
+   a step, by LF steps on runs; at every position the group of its suffix, taken from the full suffix order, says whether
+   the next 100 bytes occur before. Buckets beyond ``BUCKET_ROWS`` because of one anchor go another exact way:
    their windows are hashed (128 bits) and the first place of each is found by an aggregation.
 4. Marks meet their documents, are merged, and the rest is hashed.
 
@@ -136,8 +136,9 @@ class RunIndex:
     """Run-compressed Burrows-Wheeler transform of a list of byte strings, each closed by a separator of its own.
 
     Suffixes are sorted by prefix doubling from packs of seven symbols; only groups that are still tied are sorted again.
-    Kept are the runs (start, symbol, occurrences of the symbol before), suffix-array samples at run ends, and for each
-    run of suffixes that agree on ``length`` symbols the earliest text position.
+    Kept are the runs (start, symbol, occurrences of the symbol before), the rank of every suffix, and for each run of
+    suffixes that agree on ``length`` symbols the earliest text position, which is what ``earlier`` reads. ``samples``, the
+    suffix-array samples at run ends, are not read.
     """
 
     def __init__(self, strings: list[bytes], length: int = LENGTH) -> None:
