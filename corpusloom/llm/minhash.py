@@ -2,20 +2,27 @@
 
 1. Every document gets the set of its distinct word shingles (64-bit hashes), a fingerprint of the set and a MinHash
    signature; a coordinate and its value make a token. Documents with equal sets become one node.
-2. Tokens are posted. A pair counts if it collides in at least ``MATCHES`` of ``COORDINATES`` coordinates; a pair at the
-   wanted similarity fails that with a probability below 2e-6 (binomial tail). Tokens of one document only cannot
-   collide, so a document with fewer repeated tokens drops out. Of the rest, the postings merged are those of the prefix:
-   all but the MATCHES - 1 most frequent tokens of a document. Two documents that collide often enough share a token of
-   their prefixes; the long lists of the suffix are skipped and only looked into for pairs that met.
-3. Documents that share a prefix token are tied to the smallest of its list (no pairs are made); the tied documents form
-   blocks, which are compared inside one task each: collisions counted, pairs below the threshold dropped, the rest
-   confirmed on full sets by counting common shingles through an inverted list. A task emits a spanning set of its
-   links. A block above ``BLOCK`` documents is dealt into parts, and each two parts meet in a task of their own.
-4. Components of the links give each document its class.
+2. Tokens are posted: one list of documents for each coordinate and value. A pair counts if it collides in at least
+   ``MATCHES`` of ``COORDINATES`` coordinates; a pair at the wanted similarity fails that with a probability below 1e-6
+   (binomial tail). A list of one document collides with nothing, so a document in fewer than ``MATCHES`` longer lists drops
+   out. Only the prefix of a document is merged: all but its MATCHES - 1 longest lists. Two documents that collide often
+   enough share a list of their prefixes; the long lists are skipped and looked into for pairs that met.
+3. Pairs of a list are made in two steps, so that a group of thousands of near copies costs work in proportion to its size.
+   First each member meets the pivot of its list (one of ``FAMILIES`` hash orders picks it, so a group has several
+   pivots). Collisions of those pairs are counted, pairs above the threshold are confirmed on full sets, and components
+   of the confirmed links are found. Then only members of different components of a list still have to meet: lists that lie
+   in one component are done, the rest are joined with themselves, in cells of ``CHUNK`` members, and only pairs that reach
+   the threshold leave the join.
+4. Components of all confirmed links give each document its class.
+
+Work that stays quadratic: documents in one prefix list that are all pairwise unlike; no copies, but texts whose common part
+is large (more than half of the coordinates) and yet below the wanted similarity. Nothing is dropped for them.
 
 Cases: null or empty texts have an empty set and are linked with nothing; texts with fewer words than a shingle have
-their whole sequence as one; documents without an id take no part (component null, kept); repeated rows fall into one
-class; rows that share a doc_id count as one document; extra columns are ignored; an empty table gives an empty result.
+their whole sequence as one; very long texts are read whole, in slices; documents without an id take no part (component
+null, kept); repeated rows fall into one class; rows that share a doc_id count as one document, linked with all that
+one of its texts is; a similarity of exactly the threshold links; pivots tied in their hash give way to the smaller id;
+extra columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -24,16 +31,15 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.llm import textkit as T
 from corpusloom.llm.graph import components
 from corpusloom.llm.shared import stage
 
-COORDINATES, MATCHES, BLOCK = 32, 13, 2500
+COORDINATES, MATCHES, FAMILIES, CHUNK = 48, 24, 3, 256
 PERCENT = 80
 _RNG = np.random.default_rng(97)
 _A = _RNG.integers(1, 2**63, COORDINATES, dtype=np.uint64) | np.uint64(1)
@@ -91,48 +97,77 @@ def _signer(width: int):
     return sign
 
 
-def _linker(width: int, percent: int):
-    """All confirmed links of a block, or between two parts of it, as a spanning set (node, partner)."""
-
-    def link(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        node, part = rows["node"].to_numpy(), rows["part"].to_numpy()
-        data, off = T.buffers(pa.array(rows["text"], pa.large_string()))
-        sets = [s for _, _, piece, o in T.slices(data, off) for s in shingle_sets(piece, o, width)]
-        n, size = len(sets), np.array([len(s) for s in sets], dtype=np.int64)
-        signs = np.stack([signature(s) for s in sets])
-        ids = np.unique(np.concatenate(sets), return_inverse=True)[1]
-        at = np.concatenate([[0], np.cumsum(size)])
-        holders = np.repeat(np.arange(n), size)[np.argsort(ids, kind="stable")]
-        first = np.concatenate([[0], np.cumsum(np.bincount(ids))])
-        root = np.arange(n)
-
-        def find(i: int) -> int:
-            while root[i] != i:
-                root[i] = root[root[i]]
-                i = root[i]
-            return i
-
-        across = key[1] != key[2]
-        out = []
-        for i in range(n):
-            near = (signs[:, :] == signs[i]).sum(axis=1) >= MATCHES
-            near[: i + 1] = False
-            if across:
-                near &= part != part[i]
-            if not near.any():
-                continue
-            mine = ids[at[i] : at[i + 1]]
-            lo, count = first[mine], first[mine + 1] - first[mine]
-            where = np.repeat(lo - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(count.sum())
-            common = np.bincount(holders[where], minlength=n)
-            for j in np.flatnonzero(near & (100 * common >= percent * (size[i] + size - common))).tolist():
-                a, b = find(i), find(j)
-                if a != b:
-                    root[max(a, b)] = min(a, b)
-                    out.append((node[i], node[j]))
-        return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
-
-    return link
+_SETS = pa.schema([("node", pa.int64()), ("shingles", pa.list_(pa.int64()))])
+
+
+def _setter(width: int):
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            data, off = T.buffers(b.column("text"))
+            for lo, hi, part, o in T.slices(data, off):
+                found = pa.array([s.view(np.int64) for s in shingle_sets(part, o, width)], _SETS.field(1).type)
+                yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(lo, hi - lo), found], schema=_SETS)
+
+    return sets
+
+
+def _alike(x: Column | str, y: Column | str, percent: int) -> Column:
+    """Whether sets of these sizes can be similar enough."""
+    return 100 * F.least(x, y) >= percent * F.greatest(x, y)
+
+
+def _collide(a: Column | str, b: Column | str) -> Column:
+    return F.size(F.array_intersect(a, b)) >= MATCHES
+
+
+def _two(pairs: DataFrame, side: DataFrame, *columns: str) -> DataFrame:
+    """Pairs (a, b) with the columns of both their nodes, as c_a and c_b."""
+    for end in "ab":
+        pairs = pairs.join(side.select(F.col("node").alias(end), *[F.col(c).alias(f"{c}_{end}") for c in columns]), end)
+    return pairs
+
+
+def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose full sets are similar enough."""
+    both = _two(pairs, sets, "shingles").withColumn("common", F.size(F.array_intersect("shingles_a", "shingles_b")))
+    return both.where(100 * F.col("common") >= percent * (F.size("shingles_a") + F.size("shingles_b") - F.col("common"))).select("a", "b")
+
+
+def _postings(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(node, n, tokens) of the documents that can collide, tokens with the shortest list first; (node, token) of prefixes."""
+    posted = nodes.select("node", F.explode("tokens").alias("token"))
+    # written first: with two plain exchanges below the join, adaptive execution can split a token with very many rows
+    often = stage(posted.groupBy("token").agg(F.count(F.lit(1)).alias("length")).where("length > 1"), "tokens")
+    ordered = posted.join(often, "token").groupBy("node").agg(F.sort_array(F.collect_set(F.struct("length", "token"))).alias("t")).where(F.size("t") >= MATCHES)
+    signs = stage(ordered.select("node", F.col("t.token").alias("tokens")).join(nodes.select("node", "n"), "node"), "signs")
+    return signs, stage(signs.select("node", F.explode(_prefix("tokens")).alias("token")), "prefix")
+
+
+def _prefix(tokens: str) -> Column:
+    return F.slice(tokens, F.lit(1), F.size(tokens) - (MATCHES - 1))
+
+
+def _first_meetings(prefix: DataFrame, signs: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """(token, pivot, length) of the lists, and the pairs of a pivot and a member that collide often enough."""
+    rank = F.struct(F.xxhash64(F.pmod("token", F.lit(FAMILIES)), "node"), "node")
+    lists = stage(prefix.groupBy("token").agg(F.min(rank).alias("r"), F.count(F.lit(1)).alias("length")).where("length > 1").select("token", F.col("r.node").alias("pivot"), "length"), "lists")
+    met = prefix.join(lists, "token").where("node != pivot").select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b"))
+    met = stage(met.distinct(), "met")
+    return lists, _two(met, signs, "n", "tokens").where(_alike("n_a", "n_b", percent) & _collide("tokens_a", "tokens_b")).select("a", "b")
+
+
+def _other_meetings(prefix: DataFrame, lists: DataFrame, signs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """Pairs of members of a list, its pivot aside, in different components, that collide often enough."""
+    rest = prefix.join(lists.where("length > 2"), "token").where("node != pivot").select("token", "node")
+    rest = stage(rest.join(classes, "node", "left").select("token", "node", F.coalesce("label", "node").alias("class")), "rest")
+    mixed = rest.groupBy("token").agg(F.min("class").alias("lo"), F.max("class").alias("hi"), F.count(F.lit(1)).alias("length")).where("lo != hi")
+    mixed = stage(mixed.select("token", F.ceil(F.col("length") / CHUNK).cast("int").alias("parts")), "mixed")
+    full = stage(rest.join(mixed, "token").join(signs, "node"), "full")
+    one = full.withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")).alias("x")
+    two = full.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).alias("y")
+    x, y = (lambda c: F.col(f"x.{c}")), (lambda c: F.col(f"y.{c}"))
+    pair = (x("token") == y("token")) & (x("part") == y("part")) & (x("node") < y("node")) & (x("class") != y("class")) & _alike(x("n"), y("n"), percent) & _collide(x("tokens"), y("tokens"))
+    return one.join(two, pair).select(x("node").alias("a"), y("node").alias("b")).distinct()
 
 
 def clusters(docs: DataFrame, width: int = 5, percent: int = PERCENT) -> DataFrame:
@@ -140,23 +175,16 @@ def clusters(docs: DataFrame, width: int = 5, percent: int = PERCENT) -> DataFra
     texts = docs.select(F.col("doc_id").cast("long"), "text")
     signed = stage(texts.mapInArrow(_signer(width), "doc_id long, n_shingles long, fa long, fb long, tokens array<long>"), "signed")
     usable = signed.where("doc_id is not null and n_shingles > 0")
-    nodes = stage(usable.groupBy("fa", "fb").agg(F.min("doc_id").alias("node"), F.min_by("tokens", "doc_id").alias("tokens")), "nodes")
-    posted = nodes.select("node", F.explode("tokens").alias("token"))
-    # written first: with two plain exchanges below the join, adaptive execution can split a token with very many rows
-    often = stage(posted.groupBy("token").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "tokens")
-    kept = posted.join(often, "token").groupBy("node").agg(F.sort_array(F.collect_set(F.struct("n", "token"))).alias("t")).where(F.size("t") >= MATCHES)
-    prefix = stage(kept.select("node", F.explode(F.slice("t", F.lit(1), F.size("t") - (MATCHES - 1))).alias("t")).select("node", F.col("t.token").alias("token")), "prefix")
-    pivot = stage(prefix.groupBy("token").agg(F.min("node").alias("pivot"), F.count(F.lit(1)).alias("n")).where("n > 1"), "pivots")
-    ties = prefix.join(pivot, "token").where("node != pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b"))
-    blocks = components(ties)
-    parts = blocks.groupBy("label").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("parts"))
-    member = blocks.join(parts, "label").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
-    member = member.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    member = member.select("label", "node", "part", F.least("part", "other").alias("one"), F.greatest("part", "other").alias("two"))
-    # a merge join at every size: members grow with the corpus, so a plan that sends them around holds for small ones only
-    read = member.hint("merge").join(texts.where("text is not null").withColumnRenamed("doc_id", "node"), "node")
-    links = read.groupBy("label", "one", "two").applyInPandas(_linker(width, percent), "a long, b long")
-    classes = components(links).select("node", F.col("label").alias("component"))
+    nodes = stage(usable.groupBy("fa", "fb").agg(F.min("doc_id").alias("node"), F.min("n_shingles").alias("n"), F.min_by("tokens", "doc_id").alias("tokens")), "nodes")
+    signs, prefix = _postings(nodes)
+    lists, met = _first_meetings(prefix, signs, percent)
+    tied = prefix.join(lists.select("token"), "token").select(F.col("node").alias("doc_id")).distinct()
+    # only ids are hashed on their side; texts are neither sorted nor aggregated
+    read = texts.where("text is not null").join(tied.hint("shuffle_hash"), "doc_id", "left_semi")
+    sets = stage(read.mapInArrow(_setter(width), "node long, shingles array<long>"), "sets")
+    links = stage(_confirmed(met, sets, percent), "links")
+    more = _confirmed(_other_meetings(prefix, lists, signs, components(links), percent), sets, percent)
+    classes = components(links.union(more)).select("node", F.col("label").alias("component"))
     named = nodes.select("fa", "fb", "node").join(classes, "node", "left").select("fa", "fb", F.coalesce("component", "node").alias("component"))
     own = (F.col("doc_id").isNotNull()) & (F.col("n_shingles") > 0)
     out = signed.drop("tokens").withColumn("fa", F.when(own, F.col("fa"))).join(named, ["fa", "fb"], "left")
@@ -165,9 +193,17 @@ def clusters(docs: DataFrame, width: int = 5, percent: int = PERCENT) -> DataFra
 
 
 def deduplicated(docs: DataFrame, width: int = 5, percent: int = PERCENT) -> DataFrame:
-    """``docs`` without near-duplicates: of each class one row with its smallest doc_id stays, with all its columns."""
+    """``docs`` without near-duplicates: of each class one row with its smallest doc_id stays, with all its columns.
+
+    Rows meet only ids: one anti-join drops the classes' other members and the ids that occur twice. The rows of the
+    latter are numbered in a table of their own, and of each id the row with the smallest number stays.
+    """
     away = clusters(docs.select("doc_id", "text"), width, percent).where("not kept").select("doc_id").distinct()
-    rest = docs.join(away, "doc_id", "left_anti")
-    # rows with equal ids are one document, of which one row stays
-    first = rest.where("doc_id is not null").dropDuplicates(["doc_id"])
-    return first.unionByName(rest.where("doc_id is null")).select(*docs.columns)
+    ids = docs.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.count(F.lit(1)).alias("n"))
+    twice = stage(ids.where("n > 1 and doc_id is not null").select("doc_id").join(away, "doc_id", "left_anti"), "twice")
+    several = docs.join(twice.hint("shuffle_hash"), "doc_id", "left_semi")
+    several = stage(several.select(F.monotonically_increasing_id().alias("row"), F.struct(*docs.columns).alias("doc")), "several")
+    first = several.groupBy("doc.doc_id").agg(F.min("row").alias("row")).select("row")
+    chosen = several.join(first.hint("shuffle_hash"), "row", "left_semi").select("doc.*")
+    rest = docs.join(away.union(twice).hint("shuffle_hash"), "doc_id", "left_anti")
+    return rest.select(*docs.columns).unionByName(chosen)

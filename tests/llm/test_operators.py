@@ -60,13 +60,42 @@ def test_minhash(docs, texts):
     assert one.columns == docs.columns
 
 
-def test_minhash_parts(docs, texts, monkeypatch):
-    """Blocks dealt into parts give the same classes."""
-    monkeypatch.setattr(minhash, "BLOCK", 2)
+def test_minhash_cells(docs, texts, monkeypatch):
+    """Lists dealt into cells of two members give the same classes."""
+    monkeypatch.setattr(minhash, "CHUNK", 2)
     want = plain.classes({k: v for k, v in texts.items() if k is not None}, 4)
     assert all(r["component_id"] == want[r["doc_id"]][1] for r in known(minhash.clusters(docs, width=4).collect()))
 
 
+def test_minhash_groups(spark):
+    """A chain of near copies, a group of edits of one text, and one passage that a third of the documents share."""
+    rng = random.Random(8)
+    made = lambda n: ["w%d" % rng.randrange(10**6) for _ in range(n)]
+    base, chain, passage, rows = made(120), made(200), made(60), []
+    for i in range(150):
+        w = list(base)
+        for j in rng.sample(range(len(w)), rng.randrange(1, 5)):
+            w[j] = made(1)[0]
+        rows.append(w)
+    for i in range(60):
+        chain = chain[4:] + made(4)
+        rows.append(chain)
+    rows += [passage + made(rng.choice([12, 25, 40, 60])) for _ in range(150)] + [made(80) for _ in range(90)]
+    rng.shuffle(rows)
+    texts = {i: " ".join(w) for i, w in enumerate(rows)}
+    want = plain.classes(texts, 5)
+    assert 2 < len({v[1] for v in want.values()}) < 380
+    got = minhash.clusters(spark.createDataFrame(sorted(texts.items()), "doc_id long, text string"), width=5).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == want
+
+
+def test_minhash_keeps_one_row_of_an_id(spark):
+    """Equal ids are one document, whatever their other columns say; rows without an id all stay."""
+    rows = [(1, "a b c d e f", "x"), (1, "a b c d e f", "y"), (1, "a b c d e f", "x"), (2, "other words are here now ok", "x"), (3, "a b c d e f", "z"), (None, "a b c d e f", "q"), (None, None, "q"), (4, None, None), (4, None, None)]
+    out = minhash.deduplicated(spark.createDataFrame(rows, "doc_id long, text string, row string")).collect()
+    assert sorted((r["doc_id"] or 0) for r in out) == [0, 0, 1, 2, 4] and all(tuple(r) in rows for r in out)
+
+
 def test_repeats(docs, texts, monkeypatch):
     want = plain.removed({k: v for k, v in texts.items() if k is not None})
     for rows in (repeats.BUCKET_ROWS, 2):  # the second sends every anchor the other way
