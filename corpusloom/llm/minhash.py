@@ -182,7 +182,8 @@ def clusters(docs: DataFrame, width: int = 5, percent: int = PERCENT) -> DataFra
     # only ids are hashed on their side; texts are neither sorted nor aggregated
     read = texts.where("text is not null").join(tied.hint("shuffle_hash"), "doc_id", "left_semi")
     sets = stage(read.mapInArrow(_setter(width), "node long, shingles array<long>"), "sets")
-    links = stage(_confirmed(met, sets, percent), "links")
+    # distinct gathers the few links into few files; the join above has a partition for each share of the sets
+    links = stage(_confirmed(met, sets, percent).distinct(), "links")
     more = _confirmed(_other_meetings(prefix, lists, signs, components(links), percent), sets, percent)
     classes = components(links.union(more)).select("node", F.col("label").alias("component"))
     named = nodes.select("fa", "fb", "node").join(classes, "node", "left").select("fa", "fb", F.coalesce("component", "node").alias("component"))
@@ -201,9 +202,11 @@ def deduplicated(docs: DataFrame, width: int = 5, percent: int = PERCENT) -> Dat
     away = clusters(docs.select("doc_id", "text"), width, percent).where("not kept").select("doc_id").distinct()
     ids = docs.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.count(F.lit(1)).alias("n"))
     twice = stage(ids.where("n > 1 and doc_id is not null").select("doc_id").join(away, "doc_id", "left_anti"), "twice")
+    rest = docs.join(away.union(twice).hint("shuffle_hash"), "doc_id", "left_anti").select(*docs.columns)
+    if twice.isEmpty():
+        return rest
     several = docs.join(twice.hint("shuffle_hash"), "doc_id", "left_semi")
     several = stage(several.select(F.monotonically_increasing_id().alias("row"), F.struct(*docs.columns).alias("doc")), "several")
     first = several.groupBy("doc.doc_id").agg(F.min("row").alias("row")).select("row")
     chosen = several.join(first.hint("shuffle_hash"), "row", "left_semi").select("doc.*")
-    rest = docs.join(away.union(twice).hint("shuffle_hash"), "doc_id", "left_anti")
-    return rest.select(*docs.columns).unionByName(chosen)
+    return rest.unionByName(chosen.select(*docs.columns))
