@@ -7,21 +7,23 @@
    (binomial tail). A list of one document collides with nothing, so a document in fewer than ``MATCHES`` longer lists drops
    out. Only the prefix of a document is merged: all but its MATCHES - 1 longest lists. Two documents that collide often
    enough share a list of their prefixes; the long lists are skipped and looked into for pairs that met.
-3. Pairs of a list are made in two steps, so that a group of thousands of near copies costs work in proportion to its size.
-   First each member meets the pivot of its list (one of ``FAMILIES`` hash orders picks it, so a group has several
-   pivots). Collisions of those pairs are counted, pairs above the threshold are confirmed on full sets, and components
-   of the confirmed links are found. Then only members of different components of a list still have to meet: lists that lie
-   in one component are done, the rest are joined with themselves, in cells of ``CHUNK`` members, and only pairs that reach
-   the threshold leave the join.
-4. Components of all confirmed links give each document its class.
-
-Work that stays quadratic: documents in one prefix list that are all pairwise unlike; no copies, but texts whose common part
-is large (more than half of the coordinates) and yet below the wanted similarity. Nothing is dropped for them.
+3. Each list has a pivot: its member with the most company in its lists (of near copies of one text, the one nearest to
+   that text). The members of all lists of a pivot form its block; two documents that share a list share a block.
+   First every member meets its pivot: collisions are counted, pairs above the threshold confirmed on full sets, components
+   of the links found. A group of thousands of near copies costs work in proportion to its size so far.
+4. Only members of a block that lie in different components still have to meet. A block is dealt into parts, and each two
+   parts meet in a task: posting lists of the prefixes are merged there, documents that met are looked up in each
+   other's long lists, those above the threshold are confirmed on full sets by merging lists of shingles. A task emits a
+   spanning set of its links, no pairs.
+5. Components of all confirmed links give each document its class.
+
+Parts are bounded by rows and by shingles (``ROWS``, ``SHINGLES``); a block that stays in several components costs work that
+grows with the square of its number of parts. Nothing is dropped for it.
 
 Cases: null or empty texts have an empty set and are linked with nothing; texts with fewer words than a shingle have
 their whole sequence as one; very long texts are read whole, in slices; documents without an id take no part (component
 null, kept); repeated rows fall into one class; rows that share a doc_id count as one document, linked with all that
-one of its texts is; a similarity of exactly the threshold links; pivots tied in their hash give way to the smaller id;
+one of its texts is; a similarity of exactly the threshold links; of members tied for pivot the smaller id is it;
 extra columns are ignored; an empty table gives an empty result.
 """
 
@@ -31,15 +33,16 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.llm import textkit as T
 from corpusloom.llm.graph import components
 from corpusloom.llm.shared import stage
 
-COORDINATES, MATCHES, FAMILIES, CHUNK = 48, 24, 3, 256
+COORDINATES, MATCHES, ROWS, SHINGLES = 48, 24, 256, 1 << 20
 PERCENT = 80
 _RNG = np.random.default_rng(97)
 _A = _RNG.integers(1, 2**63, COORDINATES, dtype=np.uint64) | np.uint64(1)
@@ -111,63 +114,103 @@ def _setter(width: int):
     return sets
 
 
-def _alike(x: Column | str, y: Column | str, percent: int) -> Column:
-    """Whether sets of these sizes can be similar enough."""
-    return 100 * F.least(x, y) >= percent * F.greatest(x, y)
-
-
-def _collide(a: Column | str, b: Column | str) -> Column:
-    return F.size(F.array_intersect(a, b)) >= MATCHES
-
-
-def _two(pairs: DataFrame, side: DataFrame, *columns: str) -> DataFrame:
-    """Pairs (a, b) with the columns of both their nodes, as c_a and c_b."""
-    for end in "ab":
-        pairs = pairs.join(side.select(F.col("node").alias(end), *[F.col(c).alias(f"{c}_{end}") for c in columns]), end)
-    return pairs
-
-
-def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs whose full sets are similar enough."""
-    both = _two(pairs, sets, "shingles").withColumn("common", F.size(F.array_intersect("shingles_a", "shingles_b")))
-    return both.where(100 * F.col("common") >= percent * (F.size("shingles_a") + F.size("shingles_b") - F.col("common"))).select("a", "b")
+class _Lists:
+    """Posting lists of rows of values: which rows hold a value."""
+
+    def __init__(self, rows: list[np.ndarray]) -> None:
+        self.size = np.array([len(r) for r in rows], dtype=np.int64)
+        self.at = np.concatenate([[0], np.cumsum(self.size)])
+        self.ids = np.unique(np.concatenate(rows), return_inverse=True)[1]
+        self.holder = np.repeat(np.arange(len(rows)), self.size)[np.argsort(self.ids, kind="stable")]
+        self.first = np.concatenate([[0], np.cumsum(np.bincount(self.ids))])
+
+    def merged(self, row: int) -> np.ndarray:
+        """For each row, the number of values it shares with this one."""
+        mine = self.ids[self.at[row] : self.at[row + 1]]
+        lo, count = self.first[mine], self.first[mine + 1] - self.first[mine]
+        where = np.repeat(lo - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(count.sum())
+        return np.bincount(self.holder[where], minlength=len(self.size))
+
+    def common(self, row: int, others: np.ndarray) -> np.ndarray:
+        """The same for chosen rows, by looking up their values."""
+        mine = np.zeros(len(self.first), dtype=bool)
+        mine[self.ids[self.at[row] : self.at[row + 1]]] = True
+        return np.array([mine[self.ids[self.at[j] : self.at[j + 1]]].sum() for j in others.tolist()], dtype=np.int64)
+
+
+def _linker(percent: int):
+    """Confirmed links between two parts of a block, or inside one, that tie components: a spanning set (a, b)."""
+
+    def link(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        node, part, inside = rows["node"].to_numpy(), rows["part"].to_numpy(), key[1] == key[2]
+        tokens = list(rows["tokens"])
+        short, full, sets = _Lists([t[: len(t) - MATCHES + 1] for t in tokens]), _Lists(tokens), _Lists(list(rows["shingles"]))
+        names, group = np.unique(rows["class"].to_numpy(), return_inverse=True)
+        n, out = sets.size, []
+        for i in range(len(rows)) if inside else np.flatnonzero(part == key[1]).tolist():
+            near = (short.merged(i) > 0) & (group != group[i]) & (100 * np.minimum(n, n[i]) >= percent * np.maximum(n, n[i]))
+            near &= np.arange(len(rows)) > i if inside else part != part[i]
+            near = np.flatnonzero(near)
+            near = near[full.common(i, near) >= MATCHES]
+            if not len(near):
+                continue
+            shared = sets.merged(i)[near]
+            for j in near[100 * shared >= percent * (n[i] + n[near] - shared)].tolist():
+                if group[i] != group[j]:
+                    out.append((node[i], node[j]))
+                    group[group == group[j]] = group[i]
+        return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
+
+    return link
 
 
 def _postings(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(node, n, tokens) of the documents that can collide, tokens with the shortest list first; (node, token) of prefixes."""
+    """(node, n, company, tokens) of the documents that can collide, tokens with the shortest list first; (node, token,
+    company) of their prefixes."""
     posted = nodes.select("node", F.explode("tokens").alias("token"))
     # written first: with two plain exchanges below the join, adaptive execution can split a token with very many rows
     often = stage(posted.groupBy("token").agg(F.count(F.lit(1)).alias("length")).where("length > 1"), "tokens")
-    ordered = posted.join(often, "token").groupBy("node").agg(F.sort_array(F.collect_set(F.struct("length", "token"))).alias("t")).where(F.size("t") >= MATCHES)
-    signs = stage(ordered.select("node", F.col("t.token").alias("tokens")).join(nodes.select("node", "n"), "node"), "signs")
-    return signs, stage(signs.select("node", F.explode(_prefix("tokens")).alias("token")), "prefix")
-
-
-def _prefix(tokens: str) -> Column:
-    return F.slice(tokens, F.lit(1), F.size(tokens) - (MATCHES - 1))
-
-
-def _first_meetings(prefix: DataFrame, signs: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
-    """(token, pivot, length) of the lists, and the pairs of a pivot and a member that collide often enough."""
-    rank = F.struct(F.xxhash64(F.pmod("token", F.lit(FAMILIES)), "node"), "node")
-    lists = stage(prefix.groupBy("token").agg(F.min(rank).alias("r"), F.count(F.lit(1)).alias("length")).where("length > 1").select("token", F.col("r.node").alias("pivot"), "length"), "lists")
-    met = prefix.join(lists, "token").where("node != pivot").select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b"))
-    met = stage(met.distinct(), "met")
-    return lists, _two(met, signs, "n", "tokens").where(_alike("n_a", "n_b", percent) & _collide("tokens_a", "tokens_b")).select("a", "b")
-
-
-def _other_meetings(prefix: DataFrame, lists: DataFrame, signs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """Pairs of members of a list, its pivot aside, in different components, that collide often enough."""
-    rest = prefix.join(lists.where("length > 2"), "token").where("node != pivot").select("token", "node")
-    rest = stage(rest.join(classes, "node", "left").select("token", "node", F.coalesce("label", "node").alias("class")), "rest")
-    mixed = rest.groupBy("token").agg(F.min("class").alias("lo"), F.max("class").alias("hi"), F.count(F.lit(1)).alias("length")).where("lo != hi")
-    mixed = stage(mixed.select("token", F.ceil(F.col("length") / CHUNK).cast("int").alias("parts")), "mixed")
-    full = stage(rest.join(mixed, "token").join(signs, "node"), "full")
-    one = full.withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")).alias("x")
-    two = full.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).alias("y")
-    x, y = (lambda c: F.col(f"x.{c}")), (lambda c: F.col(f"y.{c}"))
-    pair = (x("token") == y("token")) & (x("part") == y("part")) & (x("node") < y("node")) & (x("class") != y("class")) & _alike(x("n"), y("n"), percent) & _collide(x("tokens"), y("tokens"))
-    return one.join(two, pair).select(x("node").alias("a"), y("node").alias("b")).distinct()
+    ordered = posted.join(often, "token").groupBy("node").agg(F.sum("length").alias("company"), F.sort_array(F.collect_set(F.struct("length", "token"))).alias("t"))
+    signs = ordered.where(F.size("t") >= MATCHES).select("node", "company", F.col("t.token").alias("tokens"))
+    signs = stage(signs.join(nodes.select("node", "n"), "node"), "signs")
+    prefix = F.slice("tokens", F.lit(1), F.size("tokens") - (MATCHES - 1))
+    return signs, signs.select("node", "n", "company", F.explode(prefix).alias("token"))
+
+
+def _blocks(prefix: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(pivot, parts) of the blocks; (pivot, node, part) of their members, the pivots themselves aside."""
+    rank = F.struct("company", (-F.col("node")).alias("low"))
+    pivots = prefix.groupBy("token").agg(F.max(rank).alias("r"), F.count(F.lit(1)).alias("length")).where("length > 1")
+    pivots = stage(pivots.select("token", (-F.col("r.low")).alias("pivot")), "pivots")
+    member = stage(prefix.join(pivots, "token").where("node != pivot").select("pivot", "node", "n").distinct(), "members")
+    load = F.greatest(F.ceil(F.count(F.lit(1)) / ROWS), F.ceil(F.sum("n") / SHINGLES))
+    blocks = stage(member.groupBy("pivot").agg(load.cast("int").alias("parts")), "blocks")
+    member = member.join(blocks, "pivot").select("pivot", "node", "n", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int").alias("part"))
+    return blocks, member
+
+
+def _starred(member: DataFrame, blocks: DataFrame, signs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The links (a, b) of members with their pivots. A pivot goes once to every part of its block, so none is a hot key."""
+    # written first: the parts of a pivot are few rows, yet a pivot may have very many
+    hub = stage(blocks.select(F.col("pivot").alias("node"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")), "hubs")
+    hub_of = lambda d, c: hub.join(d, "node").select(F.col("node").alias("pivot"), "part", *[F.col(x).alias(f"p_{x}") for x in c])
+    met = member.join(signs.select("node", "tokens"), "node").join(hub_of(signs, ["n", "tokens"]), ["pivot", "part"])
+    met = met.where((100 * F.least("n", "p_n") >= percent * F.greatest("n", "p_n")) & (F.size(F.array_intersect("tokens", "p_tokens")) >= MATCHES))
+    met = stage(met.select("pivot", "part", "node"), "met")
+    both = met.join(sets, "node").join(hub_of(sets, ["shingles"]), ["pivot", "part"]).withColumn("common", F.size(F.array_intersect("shingles", "p_shingles")))
+    alike = 100 * F.col("common") >= percent * (F.size("shingles") + F.size("p_shingles") - F.col("common"))
+    return both.where(alike).select(F.col("pivot").alias("a"), F.col("node").alias("b"))
+
+
+def _parted(member: DataFrame, blocks: DataFrame, signs: DataFrame, sets: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """The links (a, b) between members of a block that lie in different components."""
+    named = member.join(classes, "node", "left").select("pivot", "node", "part", F.coalesce("label", "node").alias("class"))
+    named = stage(named, "named")
+    mixed = stage(named.groupBy("pivot").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo != hi").join(blocks, "pivot").select("pivot", "parts"), "mixed")
+    rows = stage(named.join(mixed, "pivot"), "rows").join(signs.select("node", "tokens"), "node").join(sets, "node")
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    rows = rows.select("pivot", "node", "class", "part", F.least("part", "other").alias("one"), F.greatest("part", "other").alias("two"), "tokens", "shingles")
+    return rows.groupBy("pivot", "one", "two").applyInPandas(_linker(percent), "a long, b long")
 
 
 def clusters(docs: DataFrame, width: int = 5, percent: int = PERCENT) -> DataFrame:
@@ -177,14 +220,14 @@ def clusters(docs: DataFrame, width: int = 5, percent: int = PERCENT) -> DataFra
     usable = signed.where("doc_id is not null and n_shingles > 0")
     nodes = stage(usable.groupBy("fa", "fb").agg(F.min("doc_id").alias("node"), F.min("n_shingles").alias("n"), F.min_by("tokens", "doc_id").alias("tokens")), "nodes")
     signs, prefix = _postings(nodes)
-    lists, met = _first_meetings(prefix, signs, percent)
-    tied = prefix.join(lists.select("token"), "token").select(F.col("node").alias("doc_id")).distinct()
+    blocks, member = _blocks(prefix)
+    tied = member.select(F.col("node").alias("doc_id")).union(blocks.select("pivot")).distinct()
     # only ids are hashed on their side; texts are neither sorted nor aggregated
     read = texts.where("text is not null").join(tied.hint("shuffle_hash"), "doc_id", "left_semi")
     sets = stage(read.mapInArrow(_setter(width), "node long, shingles array<long>"), "sets")
     # distinct gathers the few links into few files; the join above has a partition for each share of the sets
-    links = stage(_confirmed(met, sets, percent).distinct(), "links")
-    more = _confirmed(_other_meetings(prefix, lists, signs, components(links), percent), sets, percent)
+    links = stage(_starred(member, blocks, signs, sets, percent).distinct(), "links")
+    more = _parted(member, blocks, signs, sets, components(links), percent)
     classes = components(links.union(more)).select("node", F.col("label").alias("component"))
     named = nodes.select("fa", "fb", "node").join(classes, "node", "left").select("fa", "fb", F.coalesce("component", "node").alias("component"))
     own = (F.col("doc_id").isNotNull()) & (F.col("n_shingles") > 0)

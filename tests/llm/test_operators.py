@@ -61,8 +61,8 @@ def test_minhash(docs, texts):
 
 
 def test_minhash_cells(docs, texts, monkeypatch):
-    """Lists dealt into cells of two members give the same classes."""
-    monkeypatch.setattr(minhash, "CHUNK", 2)
+    """Blocks dealt into parts of two members give the same classes."""
+    monkeypatch.setattr(minhash, "ROWS", 2)
     want = plain.classes({k: v for k, v in texts.items() if k is not None}, 4)
     assert all(r["component_id"] == want[r["doc_id"]][1] for r in known(minhash.clusters(docs, width=4).collect()))
 
