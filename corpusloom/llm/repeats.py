@@ -7,11 +7,14 @@ segment is a run of windows with the same anchor position, about 120 bytes; a do
 1. Segments (anchor, hash of the segment, place) are counted by anchor; anchors that occur once are dropped - most.
 2. Of equal segments the earliest place stays; every window of the others starts earlier there, so they are marked whole.
 3. What is left is anchors with several different segments (the borders of repeated passages): their bytes are fetched,
-   one copy each, and dealt by anchor into buckets of bounded size. Each bucket is indexed: a run-compressed
-   Burrows-Wheeler transform of the segments in corpus order. All segments are streamed through it backwards, one symbol
-   a step, by LF steps on runs; at every position the group of its suffix, taken from the full suffix order, says whether
-   the next 100 bytes occur before. Buckets beyond ``BUCKET_ROWS`` because of one anchor go another exact way:
-   their windows are hashed (128 bits) and the first place of each is found by an aggregation.
+   one copy each, and dealt by anchor into buckets of bounded size. In a bucket the segments of an anchor, in corpus order,
+   are halved again and again: the earlier half is put into a run-compressed Burrows-Wheeler index, the later half is
+   streamed through it, and a window whose matching statistic reaches its length starts earlier. One index serves all
+   anchors of a bucket: a tag inside the anchor's gram, so inside every window, keeps halves of other anchors apart.
+   The index holds runs and the text positions at their two ends, no suffix array and no ranks: a statistic is carried
+   by LF steps, and where the run's symbol differs, by the nearer run end of the right symbol.
+   An anchor with more than ``BUCKET_ROWS / 2`` different segments does not fit a task; its windows are hashed (128 bits) and
+   the first place of each is found by an aggregation. Both ways give the same marks.
 4. Marks meet their documents, are merged, and the rest is hashed.
 
 Equality of segments in step 2 is by two independent 64-bit hashes. Skew: counts and first places are combined before
@@ -19,7 +22,8 @@ they are shuffled, and the joins on anchors are split by adaptive execution.
 
 Cases: null text counts as empty; texts under 100 bytes lose nothing; rows without an id take no part (nothing is removed,
 nor found in them); rows that share a doc_id share its places, so they are not removed against each other; extra columns
-are ignored; an empty table gives an empty result. Long texts are anchored in overlapping blocks, so memory is bounded.
+are ignored; an empty table gives an empty result; repeated rows share one place each. Very long texts are anchored in
+overlapping blocks, so memory is bounded. Ties for the first place cannot occur: places are distinct.
 """
 
 from __future__ import annotations
@@ -133,98 +137,172 @@ def anchors(docs: DataFrame) -> DataFrame:
 
 
 class RunIndex:
-    """Run-compressed Burrows-Wheeler transform of a list of byte strings, each closed by a separator of its own.
+    """Run-compressed Burrows-Wheeler transform of strings of symbols, each closed by a separator (0) of its own.
 
-    Suffixes are sorted by prefix doubling from packs of seven symbols; only groups that are still tied are sorted again.
-    Kept are the runs (start, symbol, occurrences of the symbol before), the rank of every suffix, and for each run of
-    suffixes that agree on ``length`` symbols the earliest text position, which is what ``earlier`` reads. ``samples``, the
-    suffix-array samples at run ends, are not read.
+    Kept are the text and, for every run: its first row, its symbol, the row its first row goes to by LF, and the text
+    positions of its first and last suffix. The suffix order is needed to build the runs and dropped then.
     """
 
-    def __init__(self, strings: list[bytes], length: int = LENGTH) -> None:
-        sizes = np.array([len(s) for s in strings], dtype=np.int64)
-        self.ends = np.cumsum(sizes + 1) - 1
-        n = int(self.ends[-1]) + 1 if len(strings) else 0
-        sym = np.zeros(n, dtype=np.int64)
-        inside = np.ones(n, dtype=bool)
-        inside[self.ends] = False
-        sym[inside] = np.frombuffer(b"".join(strings), dtype=np.uint8).astype(np.int64) + 1
-        left = np.repeat(self.ends, sizes + 1) - np.arange(n)  # symbols before the next separator
-        order, rank, short = self._sorted(sym, left, length)
-        self.rank = rank
-        bwt = sym[order - 1]  # the text is read as a circle
-        start = np.flatnonzero(np.concatenate([[True], bwt[1:] != bwt[:-1]])) if n else np.zeros(0, dtype=np.int64)
-        self.start, self.symbol = start, bwt[start]
-        width = np.diff(np.append(start, n))
-        self.samples = order[start + width - 1]
+    def __init__(self, text: np.ndarray) -> None:
+        n = len(text)
+        ends = np.flatnonzero(text == 0)
+        left = np.repeat(ends, np.diff(np.concatenate([[-1], ends]))) - np.arange(n)  # symbols before the next separator
+        order = _suffix_order(text, left)
+        bwt = text[order - 1]  # the text is read as a circle
+        self.start = np.flatnonzero(np.concatenate([[True], bwt[1:] != bwt[:-1]]))
+        self.symbol = bwt[self.start]
+        stop = np.append(self.start[1:], n)
+        self.first, self.last, self.stop = order[self.start], order[stop - 1], stop - 1
         by = np.argsort(self.symbol, kind="stable")
-        # the first row that the run's rows go to: rows are grouped by symbol, in order of the runs
-        self.goes = np.zeros(len(start), dtype=np.int64)
-        self.goes[by] = np.concatenate([[0], np.cumsum(width[by])[:-1]]) if n else 0
-        # suffixes that agree on ``length`` symbols: both halves agree, by the ranks kept at half the depth
-        half, depth = short
-        far = np.minimum(np.arange(n) + length - depth, max(n - 1, 0))
-        a, b = order[1:], order[:-1]
-        same = (half[a] == half[b]) & (half[far[a]] == half[far[b]]) & (left[a] >= length) & (left[b] >= length)
-        first = np.flatnonzero(np.concatenate([[True], ~same])) if n else np.zeros(0, dtype=np.int64)
-        self.block_start, self.block_first = first, np.minimum.reduceat(order, first) if n else first
-
-    @staticmethod
-    def _sorted(sym: np.ndarray, left: np.ndarray, length: int):
-        n, depth = len(sym), 7
-        key = np.zeros(n, dtype=np.int64)
-        for j in range(depth):
-            shifted = np.zeros(n, dtype=np.int64)
-            shifted[: max(n - j, 0)] = sym[j:]
-            key = key * 257 + np.where(left >= j, shifted, 0)
-        order = np.argsort(key)
-        k = key[order]
-        new = np.concatenate([[True], k[1:] != k[:-1]]) if n else np.zeros(0, dtype=bool)
-        rank = np.zeros(n, dtype=np.int64)
-        group = np.flatnonzero(new)[np.cumsum(new) - 1] if n else rank
-        rank[order] = group
-        short = (rank.copy(), depth)
-        while n:
-            tied = np.zeros(n, dtype=bool)
-            tied[1:] |= group[1:] == group[:-1]
-            tied[:-1] |= group[1:] == group[:-1]
-            rows = np.flatnonzero(tied)
-            if depth <= length:
-                short = (rank.copy(), depth)
-            if not len(rows):
-                break
-            at = order[rows]
-            # tied suffixes that hold their separator are in the order of their separators, others go by what follows
-            ended = left[at] < depth
-            key = group[rows] * np.int64(2 * n + 1) + np.where(ended, at, n + rank[np.minimum(at + depth, n - 1)])
-            again = np.argsort(key)
-            order[rows] = at[again]
-            k = key[again]
-            new = np.concatenate([[True], k[1:] != k[:-1]])
-            group[rows] = rows[np.flatnonzero(new)[np.cumsum(new) - 1]]
-            rank[order[rows]] = group[rows]
-            depth *= 2
-        return order, rank, short
-
-    def step(self, row: np.ndarray) -> np.ndarray:
-        """LF: the row of the suffix that starts one symbol earlier."""
-        run = np.searchsorted(self.start, row, side="right") - 1
-        return self.goes[run] + row - self.start[run]
-
-    def earlier(self, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
-        """(string, offset) of every position whose next ``length`` symbols also start earlier in the text."""
-        count = np.arange(len(self.ends))
-        sizes = np.diff(np.concatenate([[-1], self.ends])) - 1
-        row, at = count.copy(), self.ends.copy()  # separators sort first, in text order
-        which, where = [], []
+        width = (stop - self.start)[by]
+        # rows are grouped by their first symbol, so a run's rows go behind those of the runs of its symbol before it
+        self.goes = np.zeros(len(by), dtype=np.int64)
+        self.goes[by] = np.cumsum(width) - width
+        self.runs = self.symbol[by] * len(by) + by  # runs by symbol, then by row
+        self.text = np.concatenate([text, np.zeros(128, dtype=text.dtype)])
+
+    def _common(self, a: np.ndarray, b: np.ndarray, most: np.ndarray) -> np.ndarray:
+        """Symbols that the texts at ``a`` and ``b`` share, ``most`` at most."""
+        out = np.zeros(len(a), dtype=np.int64)
+        open_ = np.flatnonzero(most > 0)
+        width = 8
+        while len(open_):
+            j = np.arange(width)
+            at = out[open_, None] + j
+            limit = len(self.text) - 1
+            same = self.text[np.minimum(a[open_, None] + at, limit)] == self.text[np.minimum(b[open_, None] + at, limit)]
+            run = np.where(same.all(axis=1), width, same.argmin(axis=1))
+            out[open_] += run
+            open_ = open_[(run == width) & (out[open_] < most[open_])]
+            width = 32
+        return np.minimum(out, most)
+
+    def reaches(self, text: np.ndarray, length: int) -> np.ndarray:
+        """Positions of ``text`` (strings closed by separators) at which the matching statistic is ``length`` or more."""
+        ends = np.flatnonzero(text == 0)
+        sizes = np.diff(np.concatenate([[-1], ends])) - 1
+        by = np.argsort(-sizes, kind="stable")
+        ends, sizes = ends[by], sizes[by]
+        # of every string: a row of the index, the text position of its suffix, and how far that agrees
+        row, pos, size = np.zeros(len(ends), dtype=np.int64), np.full(len(ends), self.first[0]), np.zeros(len(ends), dtype=np.int64)
+        found, n = [], len(self.start)
         for t in range(1, int(sizes.max(initial=0)) + 1):
-            going = sizes[count] >= t
-            count, row, at = count[going], self.step(row[going]), at[going] - 1
-            if t >= length:
-                block = np.searchsorted(self.block_start, row, side="right") - 1
-                seen = self.block_first[block] < at
-                which.append(count[seen])
-                where.append(sizes[count[seen]] - t)
+            k = int(np.searchsorted(-sizes, -t, side="right"))  # strings that are this long
+            c = text[ends[:k] - t]
+            run = np.searchsorted(self.start, row[:k], side="right") - 1
+            off = np.flatnonzero(self.symbol[run] != c)
+            if len(off):
+                q = np.searchsorted(self.runs, c[off] * n + run[off])
+                here, agrees = pos[off], np.full(len(off), -1)
+                to_row, to_pos, to_run = np.zeros(len(off), dtype=np.int64), np.full(len(off), self.first[0]), np.zeros(len(off), dtype=np.int64)
+                for at, rows, places in ((q - 1, self.stop, self.last), (q, self.start, self.first)):
+                    at = np.clip(at, 0, n - 1)
+                    there = np.flatnonzero(self.runs[at] // n == c[off])
+                    other = self.runs[at[there]] % n
+                    # the nearest run of the symbol before the row ends, the one after starts, closest to it
+                    fit = self._common(here[there], places[other], size[off[there]])
+                    better = fit > agrees[there]
+                    w, other = there[better], other[better]
+                    agrees[w], to_row[w], to_pos[w], to_run[w] = fit[better], rows[other], places[other], other
+                none = agrees < 0  # a symbol that the index does not have
+                row[off], pos[off], size[off], run[off] = to_row, to_pos, np.maximum(agrees, 0), to_run
+            row[:k], pos[:k] = self.goes[run] + row[:k] - self.start[run], pos[:k] - 1
+            size[:k] = np.minimum(size[:k] + 1, length)
+            if len(off):
+                lost = off[none]
+                row[lost], pos[lost], size[lost] = 0, self.first[0], 0
+            found.append(ends[:k][size[:k] >= length] - t)
+        return np.sort(np.concatenate(found)) if found else np.zeros(0, dtype=np.int64)
+
+
+def _suffix_order(text: np.ndarray, left: np.ndarray) -> np.ndarray:
+    """Positions of the suffixes in order, by prefix doubling from packs of seven symbols (below 512); only groups that are
+    still tied are sorted again. Suffixes equal up to their separators are in the order of these."""
+    n, depth = len(text), 7
+    key = np.zeros(n, dtype=np.int64)
+    for j in range(depth):
+        shifted = np.zeros(n, dtype=np.int64)
+        shifted[: max(n - j, 0)] = text[j:]
+        key = key * 512 + np.where(left >= j, shifted, 0)
+    order = np.argsort(key)
+    k = key[order]
+    new = np.concatenate([[True], k[1:] != k[:-1]])
+    rank = np.zeros(n, dtype=np.int64)
+    group = np.flatnonzero(new)[np.cumsum(new) - 1]
+    rank[order] = group
+    while True:
+        tied = np.zeros(n, dtype=bool)
+        tied[1:] |= group[1:] == group[:-1]
+        tied[:-1] |= group[1:] == group[:-1]
+        rows = np.flatnonzero(tied)
+        if not len(rows):
+            return order
+        at = order[rows]
+        # tied suffixes that hold their separator are in the order of their separators, others go by what follows
+        key = group[rows] * np.int64(2 * n + 1) + np.where(left[at] < depth, at, n + rank[np.minimum(at + depth, n - 1)])
+        again = np.argsort(key)
+        order[rows] = at[again]
+        k = key[again]
+        new = np.concatenate([[True], k[1:] != k[:-1]])
+        group[rows] = rows[np.flatnonzero(new)[np.cumsum(new) - 1]]
+        rank[order[rows]] = group[rows]
+        depth *= 2
+
+
+#: A tag has so many symbols, each one of 64 beyond the bytes.
+TAG = 3
+
+
+class _Bucket:
+    """Segments in corpus order, with the place of the anchor in each."""
+
+    def __init__(self, bodies: list[bytes], anchor: np.ndarray) -> None:
+        self.data = np.frombuffer(b"".join(bodies), dtype=np.uint8)
+        self.off = np.concatenate([[0], np.cumsum([len(b) for b in bodies], dtype=np.int64)])
+        total = _prefix(self.data)
+        n = len(self.data) - GRAM + 1
+        with np.errstate(over="ignore"):
+            gram = T.mix((total[GRAM:] - total[:-GRAM]) * T._powers(T._INV, len(self.data) + 1)[:n])
+        row = np.repeat(np.arange(len(bodies)), np.diff(self.off))[:n]
+        hit = np.flatnonzero((gram == anchor.view(np.uint64)[row]) & (np.arange(n) + GRAM <= self.off[row + 1]))
+        which, first = np.unique(row[hit], return_index=True)
+        self.at = np.zeros(len(bodies), dtype=np.int64)
+        self.at[which] = hit[first] - self.off[which]
+
+    def tagged(self, rows: np.ndarray, tag: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Symbols of these segments, each with its tag behind its anchor's first byte and closed; and where each starts."""
+        size, at = self.off[rows + 1] - self.off[rows], self.at[rows]
+        base = np.cumsum(size + TAG + 1) - (size + TAG + 1)
+        r = np.repeat(np.arange(len(rows)), size)
+        j = np.arange(len(r)) - (np.cumsum(size) - size)[r]
+        out = np.zeros(int((size + TAG + 1).sum()), dtype=np.int64)
+        out[base[r] + j + TAG * (j > at[r])] = self.data[self.off[rows][r] + j].astype(np.int64) + 1
+        for d in range(TAG):
+            out[base + at + 1 + d] = 257 + ((tag >> (6 * d)) & 63)
+        return out, base
+
+    def earlier(self, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(segment, offset) of every window that also starts in an earlier segment of its group."""
+        by = np.argsort(group, kind="stable")
+        head = np.concatenate([[True], group[by][1:] != group[by][:-1]])
+        rank, many = np.zeros(len(by), dtype=np.int64), np.zeros(len(by), dtype=np.int64)
+        rank[by] = np.arange(len(by)) - np.flatnonzero(head)[np.cumsum(head) - 1]
+        many[by] = np.diff(np.append(np.flatnonzero(head), len(by)))[np.cumsum(head) - 1]
+        which, where = [], []
+        for level in range(int(many.max(initial=0)).bit_length()):
+            half, late = rank >> (level + 1), (rank >> level) & 1 == 1
+            used = (half << (level + 1)) + (1 << level) < many  # its later half is not empty
+            if not used.any():
+                continue
+            tag = np.zeros(len(by), dtype=np.int64)
+            tag[used] = np.unique(np.stack([group[used], half[used]]), axis=1, return_inverse=True)[1]
+            index = RunIndex(self.tagged(np.flatnonzero(used & ~late), tag[used & ~late])[0])
+            rows = np.flatnonzero(used & late)
+            text, base = self.tagged(rows, tag[rows])
+            found = index.reaches(text, LENGTH + TAG)
+            r = np.searchsorted(base, found, side="right") - 1
+            which.append(rows[r])
+            where.append(found - base[r])
         z = np.zeros(0, dtype=np.int64)
         return (np.concatenate(which), np.concatenate(where)) if which else (z, z)
 
@@ -252,8 +330,8 @@ def _marks(doc: np.ndarray, start: np.ndarray) -> pd.DataFrame:
 def _indexed(rows: pd.DataFrame) -> pd.DataFrame:
     # a row that is there twice has one place, not an earlier one
     rows = rows.drop_duplicates(["anchor", "doc_id", "start"]).sort_values(["doc_id", "start"], kind="stable")
-    doc, start = rows["doc_id"].to_numpy(), rows["start"].to_numpy()
-    which, offset = RunIndex(rows["body"].tolist()).earlier()
+    doc, start, anchor = rows["doc_id"].to_numpy(), rows["start"].to_numpy(), rows["anchor"].to_numpy()
+    which, offset = _Bucket(rows["body"].tolist(), anchor).earlier(np.unique(anchor, return_inverse=True)[1])
     return _marks(doc[which], start[which] + offset)
 
 
@@ -322,8 +400,9 @@ def without_repeats(docs: DataFrame, keep_bytes: bool = False) -> DataFrame:
     buckets = max(1, -(-2 * total // BUCKET_ROWS))
     cold = bodies.join(hot, "anchor", "left_anti").withColumn("bucket", F.pmod(F.xxhash64("anchor"), F.lit(buckets)))
     found = cold.groupBy("bucket").applyInPandas(_indexed, "doc_id long, start long, len long")
-    windows = bodies.join(hot, "anchor", "left_semi").mapInPandas(_windows, "window binary, doc_id long, start long")
-    least = windows.groupBy("window").agg(F.min(place).alias("first"))
+    # both written first, so that a window which thousands of segments share can be split in the join
+    windows = stage(bodies.join(hot, "anchor", "left_semi").mapInPandas(_windows, "window binary, doc_id long, start long"), "windows")
+    least = stage(windows.groupBy("window").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"), "firsts")
     late = windows.join(least, "window").where(place != F.col("first")).select("doc_id", "start", F.lit(LENGTH).cast("long").alias("len"))
     marks = again.union(found).union(late).groupBy("doc_id").agg(F.collect_list(F.struct("start", "len")).alias("marks"))
     out = texts.join(marks, "doc_id", "left").mapInArrow(_remover(keep_bytes), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")

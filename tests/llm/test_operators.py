@@ -105,25 +105,42 @@ def test_repeats(docs, texts, monkeypatch):
 
 
 def test_run_index():
+    """Matching statistics against all substrings; the index keeps runs and their ends only."""
     rng = random.Random(3)
-    for _ in range(100):
+    coded = lambda strings: np.array([c for s in strings for c in (*(v + 1 for v in s), 0)], dtype=np.int64)
+    for _ in range(150):
         base = bytes(rng.choice(b"ab") for _ in range(60))
-        strings = []
-        for _ in range(rng.randint(1, 12)):
-            a = rng.randint(0, 30)
-            s = bytearray(base[a : rng.randint(a + 1, 60)])
-            if rng.random() < 0.5:
+        piece = lambda: base[(a := rng.randint(0, 30)) : rng.randint(a + 1, 60)]
+        strings, asked = [piece() for _ in range(rng.randint(1, 12))], []
+        for _ in range(rng.randint(1, 6)):
+            s = bytearray(piece())
+            if rng.random() < 0.7:
                 s[rng.randrange(len(s))] = rng.choice(b"abc\x00")
-            strings.append(bytes(s))
-        length = rng.choice([7, 9, 14, 15, 20])
-        which, at = repeats.RunIndex(strings, length).earlier(length)
-        seen, want = set(), set()
-        for i, s in enumerate(strings):
-            for j in range(len(s) - length + 1):
-                if s[j : j + length] in seen:
-                    want.add((i, j))
-                seen.add(s[j : j + length])
-        assert set(zip(which.tolist(), at.tolist())) == want
+            asked.append(bytes(s))
+        index, length = repeats.RunIndex(coded(strings)), rng.choice([1, 3, 7, 9, 14, 20])
+        at, want = 0, []
+        for s in asked:
+            want += [at + i for i in range(len(s) - length + 1) if any(s[i : i + length] in x for x in strings)]
+            at += len(s) + 1
+        assert index.reaches(coded(asked), length).tolist() == want
+        assert not hasattr(index, "rank") and all(len(v) == len(index.start) for k, v in vars(index).items() if k != "text")
+
+
+def test_repeats_of_a_repetitive_corpus(spark):
+    """Versions of a few texts, cut and pasted, so that anchors have many different segments."""
+    rng = random.Random(12)
+    base = ["".join(rng.choice("abcdefgh ") for _ in range(900)) for _ in range(3)] + ["xy" * 300, "z" * 400]
+    texts = {}
+    for i in range(160):
+        parts = []
+        for _ in range(rng.randint(1, 4)):
+            b = rng.choice(base)
+            a = rng.randrange(len(b))
+            parts += [b[a : a + rng.randint(50, 500)], "".join(rng.choice("äbcdefgh ") for _ in range(rng.randint(0, 120)))]
+        texts[i] = "".join(parts)
+    want = plain.removed(texts)
+    got = repeats.without_repeats(spark.createDataFrame(sorted(texts.items()), "doc_id long, text string")).collect()
+    assert {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in got} == want
 
 
 def test_long_rows_are_anchored_alike():
