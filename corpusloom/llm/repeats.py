@@ -41,7 +41,7 @@ from corpusloom.llm import textkit as T
 from corpusloom.llm.shared import stage
 
 LENGTH, GRAM = 100, 20
-BUCKET_ROWS = 10_000
+BUCKET_ROWS = 20_000
 _PLACE = 23  # bits for a position inside a block
 
 
@@ -159,7 +159,7 @@ class RunIndex:
         self.goes = np.zeros(len(by), dtype=np.int64)
         self.goes[by] = np.cumsum(width) - width
         self.runs = self.symbol[by] * len(by) + by  # runs by symbol, then by row
-        self.text = np.concatenate([text, np.zeros(128, dtype=text.dtype)])
+        self.text = np.concatenate([text, np.zeros(64, dtype=np.int64)]).astype(np.int16)
 
     def _common(self, a: np.ndarray, b: np.ndarray, most: np.ndarray) -> np.ndarray:
         """Symbols that the texts at ``a`` and ``b`` share, ``most`` at most."""
@@ -180,40 +180,43 @@ class RunIndex:
     def reaches(self, text: np.ndarray, length: int) -> np.ndarray:
         """Positions of ``text`` (strings closed by separators) at which the matching statistic is ``length`` or more."""
         ends = np.flatnonzero(text == 0)
-        sizes = np.diff(np.concatenate([[-1], ends])) - 1
-        by = np.argsort(-sizes, kind="stable")
-        ends, sizes = ends[by], sizes[by]
+        left = np.diff(np.concatenate([[-1], ends])) - 1  # symbols still to come
+        at = ends
         # of every string: a row of the index, the text position of its suffix, and how far that agrees
         row, pos, size = np.zeros(len(ends), dtype=np.int64), np.full(len(ends), self.first[0]), np.zeros(len(ends), dtype=np.int64)
         found, n = [], len(self.start)
-        for t in range(1, int(sizes.max(initial=0)) + 1):
-            k = int(np.searchsorted(-sizes, -t, side="right"))  # strings that are this long
-            c = text[ends[:k] - t]
-            run = np.searchsorted(self.start, row[:k], side="right") - 1
+        while True:
+            # a statistic grows by one a step: a string that cannot reach the length any more is done
+            going = (left > 0) & (size + left >= length)
+            if not going.all():
+                left, at, row, pos, size = left[going], at[going], row[going], pos[going], size[going]
+            if not len(at):
+                break
+            left, at = left - 1, at - 1
+            c = text[at]
+            run = np.searchsorted(self.start, row, side="right") - 1
             off = np.flatnonzero(self.symbol[run] != c)
             if len(off):
-                q = np.searchsorted(self.runs, c[off] * n + run[off])
-                here, agrees = pos[off], np.full(len(off), -1)
-                to_row, to_pos, to_run = np.zeros(len(off), dtype=np.int64), np.full(len(off), self.first[0]), np.zeros(len(off), dtype=np.int64)
-                for at, rows, places in ((q - 1, self.stop, self.last), (q, self.start, self.first)):
-                    at = np.clip(at, 0, n - 1)
-                    there = np.flatnonzero(self.runs[at] // n == c[off])
-                    other = self.runs[at[there]] % n
-                    # the nearest run of the symbol before the row ends, the one after starts, closest to it
-                    fit = self._common(here[there], places[other], size[off[there]])
-                    better = fit > agrees[there]
-                    w, other = there[better], other[better]
-                    agrees[w], to_row[w], to_pos[w], to_run[w] = fit[better], rows[other], places[other], other
-                none = agrees < 0  # a symbol that the index does not have
-                row[off], pos[off], size[off], run[off] = to_row, to_pos, np.maximum(agrees, 0), to_run
-            row[:k], pos[:k] = self.goes[run] + row[:k] - self.start[run], pos[:k] - 1
-            size[:k] = np.minimum(size[:k] + 1, length)
-            if len(off):
-                lost = off[none]
-                row[lost], pos[lost], size[lost] = 0, self.first[0], 0
-            found.append(ends[:k][size[:k] >= length] - t)
+                self._jump(off, c[off], run, row, pos, size)
+            row, pos, size = self.goes[run] + row - self.start[run], pos - 1, np.minimum(size + 1, length)
+            size[size < 1] = 0  # the index lacks the symbol: nothing agrees, whatever the row
+            found.append(at[size >= length])
         return np.sort(np.concatenate(found)) if found else np.zeros(0, dtype=np.int64)
 
+    def _jump(self, off: np.ndarray, c: np.ndarray, run: np.ndarray, row: np.ndarray, pos: np.ndarray, size: np.ndarray) -> None:
+        """Move the states ``off`` to the end of a run of symbol ``c`` nearest to their row, above or below, that agrees longer."""
+        n = len(self.start)
+        q = np.searchsorted(self.runs, c * n + run[off])
+        here, most, best = pos[off], size[off], np.full(len(off), -1)
+        for at, rows, places in ((np.maximum(q - 1, 0), self.stop, self.last), (np.minimum(q, n - 1), self.start, self.first)):
+            there = np.flatnonzero(self.runs[at] // n == c)
+            other = self.runs[at[there]] % n
+            fit = self._common(here[there], places[other], most[there])
+            better = fit > best[there]
+            w, other = there[better], other[better]
+            best[w], run[off[w]], row[off[w]], pos[off[w]] = fit[better], other, rows[other], places[other]
+        size[off] = np.where(best < 0, -1, best)
+
 
 def _suffix_order(text: np.ndarray, left: np.ndarray) -> np.ndarray:
     """Positions of the suffixes in order, by prefix doubling from packs of seven symbols (below 512); only groups that are
