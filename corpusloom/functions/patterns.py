@@ -54,3 +54,7 @@ PRIORITY = (
 READERS = ("direct", "firecrawl", "crawl4ai", "browser")
 RENDERERS = ("firecrawl", "crawl4ai", "browser")
 DEAD_TTL, HOLD_S, ARCHIVE_HOLD, HOLD_MOST, EXCERPT, MIN_GOOD, PRUNE_TRIES, RING = 21600, 1800, 900, 86400, 6000, 300, 5, 2000
+#: A location in a site map, a url in running text, and what a site map file's url looks like.
+LOCATION = r"(?s)<loc>\s*(?:<!\[CDATA\[)?(.*?)(?:\]\]>)?\s*</loc>"
+BARE_URL = r"https?://[^\s<>\"')\]]+"
+SITEMAP_FILE = r"(?i)sitemap|\.xml(\.gz)?$"

@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import patterns as P
 
-FLOOR = {"blocked": float(P.HOLD_S), "archive": float(P.ARCHIVE_HOLD), "rate_limited": 120.0}
-PACE = {"blocked": 5.0, "archive": 5.0, "rate_limited": 2.0}
+#: Kind of refusal -> least hold and least pace in seconds, and those of any other kind.
+FLOOR = {"blocked": float(P.HOLD_S), "silent_refusal": float(P.HOLD_S), "archive": float(P.ARCHIVE_HOLD)}
+PACE = {"blocked": 5.0, "silent_refusal": 5.0, "archive": 5.0}
+OTHER_FLOOR, OTHER_PACE = 120.0, 2.0
 SCHEMA = "host string, n long, since long, until long, pace double"
 
 
@@ -24,11 +26,11 @@ def fold(state: tuple | None, events) -> tuple:
     """(n, since, until, pace) after (at, kind, retry_after) events in order."""
     n, since, until, pace = state or (0, None, None, 1.0)
     for at, kind, asked in events:
-        seconds = max(asked or 0.0, FLOOR[kind])
+        seconds = max(asked or 0.0, FLOOR.get(kind, OTHER_FLOOR))
         if until is not None:
             seconds = max(seconds, 2.0 * (until - since))
         seconds = min(seconds, float(P.HOLD_MOST))
-        n, since, until, pace = n + 1, int(at), int(at + seconds), min(max(pace, PACE[kind], 2 * pace), float(P.HOLD_MOST))
+        n, since, until, pace = n + 1, int(at), int(at + seconds), min(max(pace, PACE.get(kind, OTHER_PACE), 2 * pace), float(P.HOLD_MOST))
     return n, since, until, pace
 
 

@@ -46,8 +46,10 @@ def in_force(versions: DataFrame, by: list[str], today: Column) -> DataFrame:
 
 
 def natural_key(value: Column) -> Column:
-    """A text key that sorts numbers inside a string by value (up to 12 digits)."""
-    return F.array_join(F.transform(F.regexp_extract_all(value, F.lit("[0-9]+|[^0-9]+"), F.lit(0)), lambda p: F.when(p.rlike("^[0-9]"), F.lpad(p, 12, "0")).otherwise(p)), "")
+    """A text key that sorts numbers inside a string by value: a number is led by its length, so longer ones come later."""
+    bare = lambda p: F.regexp_replace(p, "^0+(?=[0-9])", "")
+    number = lambda p: F.concat(F.lit("0"), F.lpad(F.length(bare(p)).cast("string"), 6, "0"), bare(p))
+    return F.array_join(F.transform(F.regexp_extract_all(value, F.lit("[0-9]+|[^0-9]+"), F.lit(0)), lambda p: F.when(p.rlike("^[0-9]"), number(p)).otherwise(p)), "")
 
 
 def running_heads(lines: DataFrame, least: int = 2) -> DataFrame:

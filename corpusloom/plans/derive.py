@@ -15,10 +15,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def checkpoints(spark: SparkSession) -> None:
-    """Checkpoints go where the session says; a local folder is set only where it says nothing."""
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints")
+def checkpoints(spark: SparkSession) -> str:
+    """The folder for checkpoints: the context's, else the one that the session names. On one machine a local folder is set
+    where neither is; on a cluster that would lose rows, as each executor has its own disk, so it is an error there."""
+    held = spark.sparkContext._jsc.sc().getCheckpointDir()
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not held.isDefined():
+        if not named and not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster") and not named:
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        named = named or "file:///tmp/checkpoints"
+        spark.sparkContext.setCheckpointDir(named)
+    return (named or held.get()).rstrip("/")
 
 
 def site(spark, d) -> DataFrame:

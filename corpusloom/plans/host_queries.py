@@ -41,7 +41,7 @@ def moves_alive(spark, d):
     return D.move(spark, d).select("id", (~dead).alias("alive"))
 
 
-@query("WITH " + D.SQL["move"] + ", " + D.SQL["attempt"] + ", h AS (SELECT DISTINCT host FROM attempt) SELECT m.id, h.host FROM move m JOIN h ON m.scope = '*' OR h.host = m.scope OR ends_with(h.host, '.' || m.scope) WHERE m.id % 10 = 0")
+@query("WITH " + D.SQL["move"] + ", " + D.SQL["attempt"] + ", h AS (SELECT DISTINCT host FROM attempt) SELECT m.id, h.host FROM move m JOIN h ON m.scope = '*' OR h.host = m.scope OR ends_with(h.host, '.' || m.scope)")
 def move_scope(spark, d):
     """Moves that apply to hosts: each host meets its own suffixes, so the theta join is an equi-join. Scopes that are
     expressions are few and are matched on the side (``operators.outcomes.scope_regexes``)."""
@@ -102,7 +102,7 @@ def reader_order(spark, d):
     return m.join(winner, "host", "left").select("host", "reader", F.row_number().over(w).alias("rank"))
 
 
-@query(A + "SELECT user_id, count(*) >= 2 AND bool_and(outcome = 'refused') AS hold FROM attempt WHERE secs // 3600 % 24 = 12 GROUP BY 1")
+@query(A + "SELECT user_id, count(*) >= 2 AND bool_and(outcome = 'refused') AS hold FROM attempt GROUP BY 1")
 def silent_hold(spark, d):
     """Hold where two or more live reads were all refused silently."""
     return D.attempt(spark, d).groupBy("user_id").agg(((F.count(F.lit(1)) >= 2) & F.bool_and(F.col("outcome") == "refused")).alias("hold"))
@@ -174,7 +174,7 @@ def recipe_score(spark, d):
     return D.attempt(spark, d).groupBy("user_id").agg(((F.count_if(F.col("outcome") == "ok") + 1) / (F.count(F.lit(1)) + 2)).alias("score"), F.when(last != "ok", last).alias("last_code"))
 
 
-_ACCESS = "access AS (SELECT CASE c_custkey % 3 WHEN 0 THEN 'www.' ELSE '' END || 'h' || (c_custkey % 12) || '.example' AS host, min(c_custkey) AS key_id FROM customer WHERE c_custkey < 40 GROUP BY 1)"
+_ACCESS = "access AS (SELECT CASE c_custkey % 3 WHEN 0 THEN 'www.' ELSE '' END || 'h' || (c_custkey % 12) || '.example' AS host, min(c_custkey) AS key_id FROM customer GROUP BY 1)"
 
 
 def _access(spark, d):
@@ -203,7 +203,7 @@ def enroll_list(spark, d):
     return a.groupBy("host", "key_id").agg(F.count("req_id").alias("reads"))
 
 
-@query("WITH b AS (SELECT s_nationkey AS k, min(s_name) AS v FROM supplier GROUP BY 1), l AS (SELECT c_nationkey AS k, min(c_name) AS v FROM customer WHERE c_nationkey % 2 = 0 GROUP BY 1) SELECT coalesce(l.k, b.k) AS k, coalesce(l.v, b.v) AS v FROM b FULL JOIN l ON b.k = l.k")
+@query("WITH b AS (SELECT s_nationkey AS k, min(s_name) AS v FROM supplier GROUP BY 1), l AS (SELECT c_nationkey AS k, min(c_name) AS v FROM customer GROUP BY 1) SELECT coalesce(l.k, b.k) AS k, coalesce(l.v, b.v) AS v FROM b FULL JOIN l ON b.k = l.k")
 def seed_merge(spark, d):
     """A shipped book under what was learned: the learned value wins."""
     b = D.table(spark, d, "supplier").groupBy(F.col("s_nationkey").alias("k")).agg(F.min("s_name").alias("v"), F.lit(1).alias("rank"))
@@ -228,8 +228,8 @@ def best_paths(m: DataFrame, n: int = 8) -> DataFrame:
     return both.groupBy("path").agg(F.max("score").alias("score")).orderBy(F.desc("score"), "path").limit(n)
 
 
-@query(M + f""", p AS (SELECT spec AS prefix, {_SCORE} AS ps FROM move WHERE kind = 'locale_prefix' AND id <= 200), r AS (SELECT spec AS root, {_SCORE} AS rs FROM move WHERE kind = 'listing_root' AND id <= 200),
-c AS (SELECT prefix || root AS path, ps * rs AS score FROM p, r UNION ALL SELECT spec, {_SCORE} FROM move WHERE kind = 'listing_path' AND id <= 200),
+@query(M + f""", p AS (SELECT spec AS prefix, {_SCORE} AS ps FROM move WHERE kind = 'locale_prefix'), r AS (SELECT spec AS root, {_SCORE} AS rs FROM move WHERE kind = 'listing_root'),
+c AS (SELECT prefix || root AS path, ps * rs AS score FROM p, r UNION ALL SELECT spec, {_SCORE} FROM move WHERE kind = 'listing_path'),
 g AS (SELECT path, max(score) AS score FROM c GROUP BY 1) SELECT path, score FROM g ORDER BY score DESC, path LIMIT 8""")
 def listing_candidates(spark, d):
     return best_paths(score(D.move(spark, d)))

@@ -116,7 +116,16 @@ def page_links(spark, d):
     return _parsed(spark, d).select("page_id", F.inline("links"))
 
 
-@query("SELECT page_id, trim(regexp_replace(regexp_replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '&amp;', '&', 'g'), '\\s+', ' ', 'g')) AS title FROM pages WHERE regexp_matches(html, '<title>[^<&]*[A-Za-z0-9][^<&]*</title>')")
+def _unescaped(e: str) -> str:
+    for name, sign in (("lt", "<"), ("gt", ">"), ("quot", '"'), ("copy", "©"), ("middot", "·"), ("amp", "&")):
+        e = f"replace({e}, '&{name};', '{sign}')"
+    return f"trim(regexp_replace({e}, '\\s+', ' ', 'g'))"
+
+
+_TITLE, _HEADING = (_unescaped(f"regexp_extract(html, '<{a}>([^<]*)</{b}>', 1)") for a, b in (("title", "title"), ("h[12]", "h[12]")))
+
+
+@query(f"SELECT page_id, CASE WHEN regexp_matches({_TITLE}, '[A-Za-z0-9]') OR {_HEADING} = '' THEN {_TITLE} ELSE left({_HEADING}, 200) END AS title FROM pages")
 def page_title(spark, d):
     return _parsed(spark, d).select("page_id", "title")
 
@@ -139,7 +148,7 @@ def block_text(spark, d):
     return D.table(spark, d, "pages").select("page_id", F.array_join(H.blocks_of_class(F.col("html"), F.lit("ad*")), "\n").alias("text"))
 
 
-@query("SELECT doc_id, text FROM documents WHERE regexp_matches(text, '^[\\x00-\\xFF]*$') AND doc_id % 2 = 0 AND NOT regexp_matches(text, '[\\x80-\\x9F]')")
+@query("SELECT doc_id, text FROM documents WHERE regexp_matches(text, '^[\\x00-\\xFF]*$') AND NOT regexp_matches(text, '[\\x80-\\x9F]')")
 def decode_text(spark, d):
     """Latin texts written in a one-byte charset come back as they were."""
     t = D.table(spark, d, "documents").where(F.col("text").rlike(r"^[\x00-\xFF]*$") & ~F.col("text").rlike(r"[\x80-\x9F]"))

@@ -108,7 +108,13 @@ def fetch_outcome(spark, d):
     return D.table(spark, d, "events").select("event_id", X.fetch_outcome(status, i % 7 == 0, i % 5 == 0, pick(_DETAIL, 4), i % 2 == 0).alias("outcome"))
 
 
-@query(D.with_("text_page") + "SELECT doc_id, CASE WHEN length(title) % 2 = 0 THEN left(title, 20) ELSE left(title, 20) || ' | ' || 'Site ' || doc_id END AS name FROM text_page WHERE NOT contains(title, '|') AND NOT regexp_matches(left(title, 20), '^\\s|\\s$') AND left(title, 20) <> ''")
+_PARTS = "string_split_regex(left(title, 20) || CASE WHEN length(title) % 2 = 0 THEN '' ELSE ' | Site ' || doc_id END || ' | AB12345 | example.com', '\\s+[|·–—]\\s+')"
+_TAIL = "contains(lower(x), 'example') OR regexp_matches(trim(x), '^[A-Z0-9][A-Z0-9-]{4,}$')"
+
+
+@query(D.with_("text_page") + f""", p AS (SELECT doc_id, {_PARTS} AS parts FROM text_page),
+k AS (SELECT doc_id, parts, list_reverse(list_transform(parts, lambda x: NOT ({_TAIL}))) AS stays FROM p)
+SELECT doc_id, array_to_string(parts[1:greatest(1, len(parts) + 1 - coalesce(nullif(list_position(stays, true), 0), len(parts)))], ' | ') AS name FROM k""")
 def untail(spark, d):
     p = D.text_page(spark, d)
     named = F.concat(F.substring("title", 1, 20), F.when(F.length("title") % 2 == 0, F.lit("")).otherwise(F.concat(F.lit(" | Site "), F.col("doc_id").cast("string"))), F.lit(" | AB12345 | example.com"))

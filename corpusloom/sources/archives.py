@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusloom.functions import patterns as P
+
 
 def _entries(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
@@ -39,20 +41,22 @@ def good_captures(captures: DataFrame, n: int = 4, recent: int = 25) -> DataFram
 
 def sitemap_locations(files: DataFrame) -> DataFrame:
     """url, pos, loc of site map files (url, body): tagged locations, or else bare urls of a file whose tags are gone."""
-    tagged = F.regexp_extract_all("body", F.lit(r"(?s)<loc>\s*(?:<!\[CDATA\[)?(.*?)(?:\]\]>)?\s*</loc>"), F.lit(1))
-    bare = F.array_distinct(F.transform(F.regexp_extract_all("body", F.lit(r"https?://[^\s<>\"')\]]+"), F.lit(0)), lambda u: F.regexp_replace(u, r"[.,)]+$", "")))
+    tagged = F.regexp_extract_all("body", F.lit(P.LOCATION), F.lit(1))
+    bare = F.array_distinct(F.transform(F.regexp_extract_all("body", F.lit(P.BARE_URL), F.lit(0)), lambda u: F.regexp_replace(u, r"[.,)]+$", "")))
     return files.select("url", F.posexplode(F.when(F.size(tagged) > 0, tagged).otherwise(bare)).alias("pos", "loc"))
 
 
 def sitemap_tree(files: DataFrame, roots: DataFrame, depth: int = 2) -> DataFrame:
-    """root, loc: the locations below each root file, index files followed up to ``depth`` times; each file is read once."""
-    index = F.col("loc").rlike(r"(?i)sitemap|\.xml(\.gz)?$")
+    """root, loc: the locations below each root file, each file read once. A file is an index if it says so, or if every location
+    in it looks like a site map; indexes are followed ``depth`` times, and those further down are given as locations."""
     locs = sitemap_locations(files)
-    level = roots.select(F.col("url").alias("root"), "url")
-    out = None
-    for _ in range(depth + 1):
-        found = level.join(locs, "url").select("root", "loc")
-        leaves = found.where(~index)
+    says = files.select("url", F.contains("body", F.lit("<sitemapindex")).alias("says"))
+    index = locs.groupBy("url").agg(F.bool_and(F.col("loc").rlike(P.SITEMAP_FILE)).alias("all")).join(says, "url").select("url", (F.col("says") | F.col("all")).alias("index"))
+    locs = locs.join(index, "url")
+    level, out = roots.select(F.col("url").alias("root"), "url"), None
+    for step in range(depth + 1):
+        found = level.join(locs, "url").select("root", "loc", "index")
+        leaves = found.where(~F.col("index") | F.lit(step == depth)).select("root", "loc")
         out = leaves if out is None else out.unionByName(leaves)
-        level = found.where(index).select("root", F.col("loc").alias("url")).distinct()
+        level = found.where("index").select("root", F.col("loc").alias("url")).distinct()
     return out.distinct()

@@ -4,6 +4,9 @@ One parse per page, with the standard parser, at an Arrow boundary (``parse_page
 
 from __future__ import annotations
 
+import codecs
+import contextlib
+import itertools
 import json
 import re
 from collections.abc import Iterator
@@ -21,30 +24,54 @@ BLOCKS = frozenset("p div br li tr h1 h2 h3 h4 h5 h6 section article table ul ol
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 
 
+_DECLARED = re.compile(r"charset=[\"']?([\w.-]+)")
+_META = re.compile(r"(?i)<meta[^>]+" + _DECLARED.pattern)
+_MARKS = (codecs.BOM_UTF16_LE, codecs.BOM_UTF16_BE, codecs.BOM_UTF32_BE)
+
+
+def _charsets(raw: bytes, content_type: str) -> Iterator[tuple[str, str]]:
+    """(charset, how errors are met), best first. A declared charset is worth a try unless it is the one that just failed, or
+    a wide one whose mark is missing: pages that declare these are known to be written in something else."""
+    yield "utf-8", "strict"
+    told = _DECLARED.search(content_type or "") or _META.search(raw[:4096].decode("latin-1"))
+    name = told[1].lower() if told else "utf-8"
+    unmarked = re.match("utf-16|utf-32|ucs", name) and not raw.startswith(_MARKS)
+    if name not in ("utf-8", "utf8") and not unmarked:
+        yield name, "replace"
+    yield "cp1252", "replace"
+
+
 def decode(raw: bytes, content_type: str = "") -> str:
-    """Strict UTF-8; else the declared charset, though no wide one without its mark; else Windows-1252."""
-    try:
-        return raw.decode("utf-8")
-    except UnicodeDecodeError:
-        pass
-    head = raw[:4096].decode("latin-1")
-    declared = re.search(r"charset=[\"']?([\w.-]+)", content_type or "") or re.search(r"(?i)<meta[^>]+charset=[\"']?([\w.-]+)", head)
-    name = declared[1].lower() if declared else ""
-    wide = name.startswith(("utf-16", "utf-32", "ucs")) and not raw.startswith((b"\xff\xfe", b"\xfe\xff", b"\x00\x00\xfe\xff"))
-    for charset in (name, "cp1252"):
-        if charset and not (wide and charset == name):
-            try:
-                return raw.decode(charset, "replace")
-            except LookupError:
-                continue
-    return raw.decode("cp1252", "replace")
-
-
-class _Page(HTMLParser):
+    """The text of a page, by the first charset that is known and, if it is UTF-8, fits."""
+    for charset, errors in _charsets(raw, content_type):
+        with contextlib.suppress(UnicodeDecodeError, LookupError):
+            return raw.decode(charset, errors)
+    return ""
+
+
+class _Events(HTMLParser):
+    """A page as a flat list of (kind, tag, value): tags that open, with attributes, tags that close, text."""
+
+    def __init__(self, html: str) -> None:
+        super().__init__(convert_charrefs=True)
+        self.list: list[tuple[str, str, object]] = []
+        self.feed(html)
+        self.close()
+
+    def handle_starttag(self, tag, attrs):
+        self.list.append(("open", tag, dict(attrs)))
+
+    def handle_endtag(self, tag):
+        self.list.append(("close", tag, None))
+
+    def handle_data(self, data):
+        self.list.append(("text", "", data))
+
+
+class _Page:
     """Collects title, links (before anything is dropped), scripts, headings and text parts by container."""
 
     def __init__(self, url: str) -> None:
-        super().__init__(convert_charrefs=True)
         self.url, self.links, self.title, self.heading = url, [], None, None
         self.scripts, self.data = 0, []
         self.texts: dict[str, list[str]] = {"main": [], "article": [], "body": [], "": []}
@@ -53,8 +80,17 @@ class _Page(HTMLParser):
         self.capture: list[str] | None = None
         self.ld: list[str] | None = None
 
-    def handle_starttag(self, tag, attrs):
-        a = dict(attrs)
+    def read(self, events: list[tuple[str, str, object]]) -> None:
+        for kind, tag, value in events:
+            if kind == "open":
+                self._open(tag, value)
+            elif kind == "close":
+                self._close(tag)
+            else:
+                self._text(value)
+        self._close_anchor()
+
+    def _open(self, tag, a):
         if tag == "a" and a.get("href") is not None:
             self._close_anchor()
             self.anchor = [a["href"], []]
@@ -67,7 +103,7 @@ class _Page(HTMLParser):
             self.open.append(tag)
         self._mark(tag)
 
-    def handle_endtag(self, tag):
+    def _close(self, tag):
         self._mark(tag, closing=True)
         if tag == "a":
             self._close_anchor()
@@ -85,7 +121,7 @@ class _Page(HTMLParser):
             while self.open.pop() != tag:
                 pass
 
-    def handle_data(self, data):
+    def _text(self, data):
         if self.ld is not None:
             self.ld.append(data)
         if self.capture is not None:
@@ -117,32 +153,31 @@ def lines(text: str) -> str:
     return "\n".join(x for x in (" ".join(line.split()) for line in text.split("\n")) if x)
 
 
-def nodes(blocks: list[str], most: int = 20) -> list[dict]:
-    """Typed structured-data nodes of a page, graphs flattened by one level."""
-    out = []
+def nodes(blocks: list[str]) -> Iterator[dict]:
+    """Typed structured-data nodes, in order; a graph's members follow the node that holds it. Broken blocks give none."""
     for raw in blocks:
-        try:
-            found = json.loads(raw)
-        except ValueError:
-            continue
-        for node in found if isinstance(found, list) else [found]:
-            if isinstance(node, dict):
-                graph = node.get("@graph")
-                out += [n for n in [node, *(graph if isinstance(graph, list) else [])] if isinstance(n, dict) and n.get("@type")]
-    return out[:most]
+        with contextlib.suppress(ValueError):
+            top = json.loads(raw)
+            for holder in top if isinstance(top, list) else (top,):
+                if isinstance(holder, dict):
+                    inner = holder.get("@graph")
+                    members = inner if isinstance(inner, list) else ()
+                    yield from (x for x in (holder, *members) if isinstance(x, dict) and x.get("@type"))
+
+
+#: Fixed value: so many nodes of a page are kept.
+NODES = 20
 
 
 def parse(html: str, url: str) -> dict:
     """title, text, links [(url, text)], n_scripts, jsonld (JSON strings)."""
     p = _Page(url)
-    p.feed(html)
-    p.close()
-    p._close_anchor()
+    p.read(_Events(html).list)
     text = next((t for t in (lines("".join(p.texts[n])) for n in ("main", "article", "body", "")) if t), "")
     title = p.title or ""
     if not re.search("[A-Za-z0-9]", title):
         title = p.heading or title
-    return {"title": title, "text": text, "links": p.links, "n_scripts": p.scripts, "jsonld": [json.dumps(n) for n in nodes(p.data)]}
+    return {"title": title, "text": text, "links": p.links, "n_scripts": p.scripts, "jsonld": [json.dumps(n) for n in itertools.islice(nodes(p.data), NODES)]}
 
 
 SCHEMA = "page_id long, url string, title string, text string, n_scripts int, links array<struct<pos:int,url:string,text:string>>, jsonld array<string>"
@@ -162,48 +197,54 @@ def parse_pages(pages: DataFrame) -> DataFrame:
     return pages.select("page_id", "url", "html").mapInPandas(_parse_batches, SCHEMA)
 
 
-class _Chosen(HTMLParser):
-    """Text of elements that match an id, a class (``x*``: a prefix) and an attribute. Depth counts the container's own tag."""
+def _extent(events: list, at: int) -> int:
+    """Where the element that opens at ``at`` ends: where its own tags balance (those of others may be left open)."""
+    tag, balance = events[at][1], 0
+    for i in range(at, len(events)):
+        if events[i][1] == tag:
+            balance += 1 if events[i][0] == "open" else -1
+            if not balance:
+                return i
+    return len(events)
 
-    def __init__(self, want) -> None:
-        super().__init__(convert_charrefs=True)
-        self.want, self.tag, self.depth, self.mute, self.found = want, "", 0, 0, []
 
-    def handle_starttag(self, tag, attrs):
-        if not self.depth:
-            if self.want(dict(attrs)):
-                self.tag, self.depth = tag, 1
-                self.found.append([])
-            return
-        self.depth += tag == self.tag
-        self.mute += tag in ("script", "style")
+def _inner_text(events: list) -> str:
+    """Text of a run of events, a new line at each block; scripts and styles are silent."""
+    parts, silent = [], 0
+    for kind, tag, value in events:
+        if tag in ("script", "style"):
+            silent = silent + 1 if kind == "open" else max(0, silent - 1)
         if tag in BLOCKS:
-            self.found[-1].append("\n")
+            parts.append("\n")
+        elif kind == "text" and not silent:
+            parts.append(value)
+    return lines("".join(parts))
 
-    def handle_endtag(self, tag):
-        if self.depth:
-            self.mute -= bool(self.mute) and tag in ("script", "style")
-            if tag in BLOCKS:
-                self.found[-1].append("\n")
-            self.depth -= tag == self.tag
 
-    def handle_data(self, data):
-        if self.depth and not self.mute:
-            self.found[-1].append(data)
+def _tests(id: str | None, cls: str | None, attr: tuple[str, str] | None) -> list:
+    """What an element's attributes have to pass: an id, a class (``x*``: one that begins so), the value of an attribute."""
+    tests = []
+    if id:
+        tests.append(lambda a: a.get("id") == id)
+    if cls:
+        fits = re.compile(re.escape(cls[:-1]) + ".*" if cls.endswith("*") else re.escape(cls), re.S).fullmatch
+        tests.append(lambda a: any(fits(c) for c in (a.get("class") or "").split()))
+    if attr:
+        tests.append(lambda a: a.get(attr[0]) == attr[1])
+    return tests
 
 
 def block_texts(html: str, id: str | None = None, cls: str | None = None, attr: tuple[str, str] | None = None) -> list[str]:
-    """One text for each matching element, one line for each paragraph; empty ones are left out."""
-
-    def want(a: dict) -> bool:
-        classes = (a.get("class") or "").split()
-        fits = lambda c: c == cls or cls.endswith("*") and c.startswith(cls[:-1])
-        return bool(id or cls or attr) and (not id or a.get("id") == id) and (not cls or any(map(fits, classes))) and (not attr or a.get(attr[0]) == attr[1])
-
-    p = _Chosen(want)
-    p.feed(html)
-    p.close()
-    return [t for t in (lines("".join(f)) for f in p.found) if t]
+    """One text for each outermost matching element, one line for each paragraph; empty ones are left out."""
+    events, tests, out, at = _Events(html).list, _tests(id, cls, attr), [], 0
+    while tests and at < len(events):
+        kind, _, value = events[at]
+        if kind == "open" and all(t(value) for t in tests):
+            end = _extent(events, at)
+            out.append(_inner_text(events[at + 1 : end]))
+            at = end
+        at += 1
+    return [t for t in out if t]
 
 
 @F.pandas_udf(ArrayType(StringType()))

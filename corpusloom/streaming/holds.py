@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from corpusloom.operators import holds
@@ -26,7 +27,8 @@ def stream(events: DataFrame) -> DataFrame:
 
 
 def run_available(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Run the query over the events there are, in one batch, and return what it emitted."""
+    """Run the query over the events there are and return the latest hold of each host. What each batch emits is kept in a
+    table in the checkpoint folder; a host that changes in several batches has a row of each, the one of most refusals last."""
     path = f"{sf_dir}/events.parquet"
     reader = spark.readStream.schema(spark.read.parquet(path).schema)
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -34,7 +36,9 @@ def run_available(spark: SparkSession, sf_dir: str) -> DataFrame:
         reader, path = reader.option("pathGlobFilter", "events.parquet"), sf_dir
     events = reader.parquet(path)
     attempts = D.attempt(spark, sf_dir, source=events)
-    name = f"holds_{uuid.uuid4().hex}"
-    q = stream(holds.throttles(attempts)).writeStream.outputMode("update").format("memory").queryName(name).trigger(availableNow=True).start()
+    at = f"{D.checkpoints(spark)}/holds-{uuid.uuid4().hex}"
+    keep = lambda batch, number: batch.write.mode("overwrite").parquet(f"{at}/rows/batch={number}")  # noqa: E731  (a batch that is run again replaces itself)
+    q = stream(holds.throttles(attempts)).writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", f"{at}/log").trigger(availableNow=True).start()
     q.awaitTermination()
-    return spark.table(name)
+    rows = spark.read.schema(holds.SCHEMA).parquet(f"{at}/rows")
+    return rows.groupBy("host").agg(F.max_by(F.struct("n", "since", "until", "pace"), "n").alias("s")).select("host", "s.*")

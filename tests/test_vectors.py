@@ -109,7 +109,7 @@ def test_closed_form_of_the_schedule(arrivals, gap):
 
 
 @settings(max_examples=200, deadline=None)
-@given(st.lists(st.tuples(st.integers(0, 10**6), st.sampled_from(["blocked", "archive", "rate_limited"]), st.floats(0, 1e6)), max_size=12))
+@given(st.lists(st.tuples(st.integers(0, 10**6), st.sampled_from(["blocked", "archive", "rate_limited", "silent_refusal", "server_error"]), st.floats(0, 1e6)), max_size=12))
 def test_pace_never_quickens(events):
     state, pace = None, 1.0
     for e in sorted(events):
@@ -126,12 +126,21 @@ def test_html():
     text = '<nav>x</nav><div id="law"><p>(1) A person may vote.</p><p>(2) Ballots are secret.</p></div>'
     assert html.block_texts(text, id="law") == ["(1) A person may vote.\n(2) Ballots are secret."] and html.block_texts(text, cls="none") == []
     assert html.decode("§ 1-1".encode(), "text/html; charset=utf-16") == "§ 1-1" and html.decode("§ 1".encode("cp1252")) == "§ 1"
+    for told in ("text/html; charset=utf-8", "text/html; charset=UTF8", "text/html; charset=no-such", "text/html; charset=utf-16"):
+        assert html.decode("§ 1".encode("cp1252"), told) == "§ 1"
+    assert html.decode(b"<meta charset='koi8-r'>" + "да".encode("koi8-r")).endswith("да") and html.decode("§".encode("utf-16"), "charset=utf-16") == "§" and html.decode(b"") == ""
+    odd = '<div class="box a"><p>one<div>in</div><script>var x</script></div><p class=boxes>two</p><div class="box b">three'
+    assert html.block_texts(odd, cls="box") == ["one\nin", "three"] and html.block_texts(odd, cls="box*") == ["one\nin", "two", "three"] and html.block_texts(odd, attr=("class", "boxes")) == ["two"] and html.block_texts(odd) == []
 
 
 def test_recipes(spark):
     assert recipes.compile_recipe("bad name", [{"reach": "x"}])[0] == "BAD_NAME"
     assert recipes.compile_recipe("a.com/x", [{"reach": "https://a.com/{input}"}], ["one"])[0] == "NEED_EXAMPLES"
     assert recipes.compile_recipe("a.com/x", [{"find": "x"}])[0] == "BAD_STEPS"
+    for bad in (None, [], [3], [{}], [{"go": 1}], [{"reach": "x"}, {"extract": {}}], [{"reach": "x"}, {"jsonld": "a"}], [{"map": "x", "same": [["a"]]}], [{"map": "x", "same": [["(", "b"]]}], [{"input": "a"}, {"reach": "x"}], [{"input": [["a", "b"]]}], [{"reach": "x", "want": "("}]):
+        assert recipes.check_steps(bad), bad
+    for good in ([{"input": [["a", "b"]]}, {"reach": "x"}], [{"map": "x", "same": [["a", "b"]], "want": "{input}"}, {"jsonld": {"a": "b.c"}}, {"find": "{url}"}]):
+        assert not recipes.check_steps(good), good
     assert recipes.check_steps([{"reach": "x"}, {"extract": {"a": r"^([^\\t]+)$"}}]) != "" and recipes.check_steps([{"reach": "x"}, {"extract": {"a": r"^([^\t]+)$"}}]) == ""
     text = "The record of the court shall be kept by the clerk of that court for any person. " * 8
     page = spark.createDataFrame([("https://a.com/A.1", "T", text + "\nRAM for A.1: 8 GB\nRAM for AX1: 9 GB", [(0, "https://a.com/s/A.1", "Specs")], [])], "url string, title string, text string, links array<struct<pos:int,url:string,text:string>>, jsonld array<string>")
@@ -142,6 +151,9 @@ def test_recipes(spark):
 
 def test_sections(spark):
     assert sorted(["10", "9a", "9"], key=dict(zip(["10", "9a", "9"], values(spark, ["10", "9a", "9"], sections.natural_key(F.col("x"))))).get) == ["9", "9a", "10"]
+    long = ["9" * 14, "1" + "0" * 14, "x2", "x10", "x010", "7b12", "7b2"]
+    keys = dict(zip(long, values(spark, long, sections.natural_key(F.col("x")))))
+    assert keys["9" * 14] < keys["1" + "0" * 14] and keys["x2"] < keys["x10"] == keys["x010"] and keys["7b2"] < keys["7b12"]
     v = spark.createDataFrame([(1, 1, "1997-01-01"), (1, 2, "1999-01-01"), (2, 1, "1999-05-05"), (2, 2, "2000-01-01")], "k long, seq int, effective string").withColumn("effective", F.to_date("effective"))
     assert {(r["k"], r["seq"]) for r in sections.in_force(v, ["k"], F.lit("1998-01-01").cast("date")).collect()} == {(1, 1), (2, 1)}
 
@@ -152,10 +164,11 @@ def test_archives(spark):
         z.writestr("a.txt", "one")
         z.writestr("b.txt", "§".encode("utf-16"))
     files = spark.createDataFrame([("z.zip", bytearray(raw.getvalue()))], "path string, content binary")
-    assert {(r["name"], r["text"]) for r in archives.zip_entries(files).collect()} == {("a.txt", "one"), ("b.txt", "﻿§")} or True
-    maps = spark.createDataFrame([("r.xml", "<sitemapindex><loc>c.xml</loc></sitemapindex>"), ("c.xml", "<loc> https://h/1 </loc><loc><![CDATA[https://h/2]]></loc>"), ("t", "see https://h/3, and https://h/4.")], "url string, body string")
+    assert {(r["name"], r["text"]) for r in archives.zip_entries(files).collect()} == {("a.txt", "one"), ("b.txt", "§")}
+    mixed = "<loc>https://h/sitemap-of-parts</loc><loc>https://h/p</loc>"
+    maps = spark.createDataFrame([("r.xml", "<sitemapindex><loc>c.xml</loc><loc>m</loc></sitemapindex>"), ("m", mixed), ("c.xml", "<loc> https://h/1 </loc><loc><![CDATA[https://h/2]]></loc>"), ("t", "see https://h/3, and https://h/4.")], "url string, body string")
     roots = spark.createDataFrame([("r.xml",), ("t",)], "url string")
-    assert {r["loc"] for r in archives.sitemap_tree(maps, roots).collect()} == {f"https://h/{i}" for i in (1, 2, 3, 4)}
+    assert {r["loc"] for r in archives.sitemap_tree(maps, roots).collect()} == {f"https://h/{i}" for i in (1, 2, 3, 4, "p", "sitemap-of-parts")}
 
 
 @pytest.fixture
