@@ -1,22 +1,28 @@
 """Quality rules: document statistics, two fixed rules, and robust multivariate outliers per language and source.
 
-Each document gets a vector of transformed statistics. Per (lang, source) the minimum-covariance-determinant estimate
-is found by concentration steps: start from coordinate medians and median deviations, keep the half-and-more of the
-documents with the smallest Mahalanobis distance, re-estimate, repeat. A document whose squared distance under the
-final estimate exceeds ``CUT`` is rejected.
+Each document gets a vector of transformed statistics. Per (lang, source), per lang and over all documents the
+minimum-covariance-determinant estimate is found: from several starts - medians and median deviations, and small random
+subsets - concentration steps keep the ``KEEP`` share of documents with the smallest Mahalanobis distance and estimate
+again; after ``SHORT`` steps the start with the least determinant goes on for ``LONG`` more. Its covariance is made
+consistent for a Gaussian by the usual factor. All groups, levels and starts share each pass.
+
+One formula settles small groups: an estimate counts as many documents as it has, and ``PSEUDO`` more are taken from the
+level above (for all documents, from a wide prior around their own mean). A document whose squared distance under the
+estimate of its language and source exceeds ``CUT`` is rejected.
 
 Every step is an aggregation over all documents: statistics are kept as integers (multiples of 1/GRID), so sums are
-exact and reruns agree whatever the task order, and quantiles are taken over a grid, so their state is bounded.
-Groups below ``MIN_GROUP`` documents use the estimate of their language, and below that size there the estimate of all
-documents; with fewer than ``MIN_GROUP`` documents at all nothing is rejected. The scale of each statistic has a floor,
-so a group of nearly equal documents does not reject small departures.
+exact and reruns agree whatever the task order, and quantiles are taken over a grid, so their state is bounded. The scale
+of each statistic has a floor, so a group of nearly equal documents does not reject small departures.
 
 Cases: null or empty text has no words (and fails the base rule); null languages and sources are groups of their own;
-repeated rows are each judged; whole texts of any length are read; an empty table gives an empty result.
+null ids are judged like others; repeated rows are each judged; documents tied at a quantile are all kept in its core, a
+distance of exactly the cut stays; whole texts of any length are read; extra columns are ignored; an empty table gives
+an empty result.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,18 +30,19 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DataType, StructType
 
 from corpusloom.llm import textkit as T
 from corpusloom.llm.shared import stage
 
 WINDOW, MIN_WORDS, REPEAT_PERCENT = 8, 20, 30
-GRID, MIN_GROUP, STEPS, KEEP = 1024, 40, 3, 0.75
+GRID, KEEP, STARTS, SHORT, LONG = 1024, 0.75, 4, 2, 2
+#: Documents of a random start, about; documents taken from the level above; the prior's scale in floors.
+SUBSET, PSEUDO, WIDE = 24, 40, 4.0
 #: Names and floors (in units of the statistic) of the statistics.
 FEATURES = {"f_length": 0.9, "f_word": 0.35, "f_symbol": 0.03, "f_repeat": 0.12, "f_lines": 0.12, "f_distinct": 0.08}
 #: Squared distance beyond which a document is an outlier. Wide (a Gaussian of 6 statistics stays below 45 but for one in
 #: ten million), as lengths have heavy tails; pipe tables, symbol noise and word lists lie beyond 140.
-CUT = 80.0
+CUT = 94.0
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 _SYMBOL = np.isin(np.arange(256), list(b"#*$%&|<>"))
 _SCHEMA = pa.schema([(c, pa.int64()) for c in ("doc_id",)] + [("lang", pa.string()), ("source", pa.string())] + [(c, pa.int64()) for c in (*COUNTS, "n_distinct", "n_lines")])
@@ -120,26 +127,45 @@ def _vectors(stats: DataFrame) -> DataFrame:
     return stats.withColumns({k: F.round(v * GRID).cast("long") for k, v in made.items()})
 
 
-def _inverted(groups: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Mean and inverse covariance, with floors, from sums of a group."""
-    d = len(FEATURES)
-    floor = np.diag(np.array(list(FEATURES.values())) ** 2)
-    for g in groups:
-        g = g[g["n"] > 0]
-        if not len(g):
-            continue
-        n = g["n"].to_numpy(dtype=float)
-        first = np.stack([np.asarray(x, dtype=float) for x in g["s1"]]) / GRID
-        second = np.stack([np.asarray(x, dtype=float) for x in g["s2"]]) / GRID**2
-        mean, inv = first / n[:, None], []
-        i, j = np.triu_indices(d)
-        for k in range(len(g)):
-            c = np.zeros((d, d))
-            c[i, j] = second[k] / n[k] - mean[k][i] * mean[k][j]
-            c[j, i] = c[i, j]
-            # the kept part is narrower than the whole: the usual consistency factor of a 75 % subset, about
-            inv.append(np.linalg.inv(1.6 * c + floor)[i, j])
-        yield g[["lang", "source"]].assign(n_group=g["n"], mean=list(mean), inv=inv)
+def _chi2(x: float, d: int) -> float:
+    """Distribution function of chi-squared with an even number of degrees of freedom."""
+    return 1.0 - math.exp(-x / 2) * sum((x / 2) ** j / math.factorial(j) for j in range(d // 2))
+
+
+def consistency(share: float, d: int) -> float:
+    """What the covariance of the ``share`` nearest of a Gaussian has to be multiplied by."""
+    lo, hi = 0.0, 200.0
+    for _ in range(80):
+        mid = (lo + hi) / 2
+        lo, hi = (mid, hi) if _chi2(mid, d) < share else (lo, mid)
+    return share / _chi2(lo, d + 2)
+
+
+_D = len(FEATURES)
+_I, _J = np.triu_indices(_D)
+_FLOOR = np.array(list(FEATURES.values())) ** 2
+_EST = "g string, start int, n long, mean array<double>, cov array<double>, inv array<double>, logdet double"
+
+
+def _square(packed: np.ndarray) -> np.ndarray:
+    c = np.zeros((_D, _D))
+    c[_I, _J] = c[_J, _I] = packed
+    return c
+
+
+def _estimate(scale: float):
+    """Mean, covariance (with floors), its inverse and determinant, from sums."""
+
+    def run(groups: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in groups:
+            rows = []
+            for g, start, n, s1, s2 in zip(b["g"], b["start"], b["n"], b["s1"], b["s2"]):
+                mean = np.asarray(s1, dtype=float) / GRID / n
+                c = _square(scale * (np.asarray(s2, dtype=float) / GRID**2 / n - mean[_I] * mean[_J])) + np.diag(_FLOOR)
+                rows.append((g, start, n, mean, c[_I, _J], np.linalg.inv(c)[_I, _J], np.linalg.slogdet(c)[1]))
+            yield pd.DataFrame(rows, columns=["g", "start", "n", "mean", "cov", "inv", "logdet"])
+
+    return run
 
 
 def _distance() -> Column:
@@ -152,80 +178,92 @@ def _distance() -> Column:
     return sum(terms[1:], terms[0])
 
 
-def _moments(v: DataFrame, keys: list[str]) -> DataFrame:
+def _moments(v: DataFrame, scale: float) -> DataFrame:
     names = list(FEATURES)
-    pairs = [(a, b) for i, a in enumerate(names) for b in names[i:]]
-    one = lambda e: F.sum(e)
-    sums = v.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.array(*[one(F.col(a)) for a in names]).alias("s1"), F.array(*[one(F.col(a) * F.col(b)) for a, b in pairs]).alias("s2"))
-    out = sums.select(*keys, *[F.lit(None).cast("string").alias(k) for k in ("lang", "source") if k not in keys], "n", "s1", "s2")
-    return out.select("lang", "source", "n", "s1", "s2").mapInPandas(_inverted, "lang string, source string, n_group long, mean array<double>, inv array<double>")
+    pairs = [F.sum(F.col(a) * F.col(b)) for i, a in enumerate(names) for b in names[i:]]
+    sums = v.groupBy("g", "start").agg(F.count(F.lit(1)).alias("n"), F.array(*[F.sum(F.col(a)) for a in names]).alias("s1"), F.array(*pairs).alias("s2"))
+    return sums.mapInPandas(_estimate(scale), _EST)
 
 
-def _medians(v: DataFrame, keys: list[str]) -> DataFrame:
-    """The start: medians, and median absolute deviations as a diagonal covariance."""
+def _middle(v: DataFrame) -> DataFrame:
+    """The first start: medians, and median absolute deviations as a diagonal covariance; n counts the whole group."""
     names = list(FEATURES)
-    mid = v.groupBy(*keys).agg(*[F.percentile(f, F.lit(0.5)).alias(f"m_{f}") for f in names])
-    spread = _join(v, mid, keys).groupBy(*keys).agg(F.count(F.lit(1)).alias("n_group"), *[F.first(f"m_{f}").alias(f"m_{f}") for f in names], *[F.percentile(F.abs(F.col(f) - F.col(f"m_{f}")), F.lit(0.5)).alias(f"d_{f}") for f in names])
+    mid = stage(v.groupBy("g").agg(F.count(F.lit(1)).alias("n"), *[F.percentile(f, F.lit(0.5)).alias(f"m_{f}") for f in names]), "mcd-medians")
+    spread = v.join(mid.drop("n"), "g").groupBy("g").agg(*[F.percentile(F.abs(F.col(f) - F.col(f"m_{f}")), F.lit(0.5)).alias(f"d_{f}") for f in names])
     diag = []
     for i, a in enumerate(names):
         for j in range(i, len(names)):
             scale = F.pow(F.col(f"d_{a}") * 1.4826 / GRID, 2) + F.lit(FEATURES[a] ** 2)
             diag.append(F.lit(1.0) / scale if i == j else F.lit(0.0))
-    return stage(spread, "mcd-start").select(*keys, "n_group", F.array(*[F.col(f"m_{f}") / GRID for f in names]).alias("mean"), F.array(*diag).alias("inv"))
-
-
-def _constant(value, kind: DataType) -> Column:
-    if value is not None and isinstance(kind, StructType):
-        return F.struct(*[_constant(value[f.name], f.dataType).alias(f.name) for f in kind])
-    if isinstance(value, list):
-        return F.array(*[F.lit(x) for x in value]).cast(kind)
-    return F.lit(value).cast(kind)
-
-
-def _join(v: DataFrame, g: DataFrame, keys: list[str]) -> DataFrame:
-    """Inner join in which null keys meet."""
-    if not keys:  # one row, the estimate of all documents: its values become literals
-        row = g.first()
-        return v.withColumns({f.name: _constant(row[f.name] if row else None, f.dataType) for f in g.schema if f.name not in ("lang", "source")})
-    right = g.select(*[F.col(k).alias(f"r_{k}") for k in keys], *[c for c in g.columns if c not in ("lang", "source")])
-    on = None
-    for k in keys:
-        same = F.col(k).eqNullSafe(F.col(f"r_{k}"))
-        on = same if on is None else on & same
-    return v.join(right, on).drop(*[f"r_{k}" for k in keys])
-
-
-def estimates(v: DataFrame, keys: list[str]) -> DataFrame:
-    """The minimum-covariance-determinant estimate of each group: keys, n_group, mean, inv."""
-    est = _medians(v, keys)
-    size = est.select(*keys, F.col("n_group").alias("n_all"))
-    for step in range(STEPS):
-        d = _join(v, est.drop("n_group"), keys).withColumn("q", F.round(F.log(_distance() + 0.01) * 64).cast("long"))
-        near = d.groupBy(*keys).agg(F.percentile("q", F.lit(KEEP)).alias("q_most"))
-        core = _join(d.drop("mean", "inv"), near, keys).where("q <= q_most")
-        est = stage(_moments(core, keys), f"mcd{step}")
-    out = _join(est.drop("n_group"), size, keys)
-    return out.select(*keys, F.col("n_all").alias("n_group"), "mean", "inv")
+    return mid.join(spread, "g").select("g", F.lit(0).alias("start"), "n", F.array(*[F.col(f"m_{f}") / GRID for f in names]).alias("mean"), F.array(*diag).alias("inv"))
+
+
+def _concentrated(v: DataFrame, est: DataFrame, step: str) -> DataFrame:
+    """One concentration step of every group and start."""
+    d = v.join(est.select("g", "start", "mean", "inv"), "g").withColumn("q", F.round(F.log(_distance() + 0.01) * 64).cast("long")).drop("mean", "inv")
+    # the share is of the group's documents: ties at the quantile all stay
+    most = stage(d.groupBy("g", "start").agg(F.percentile("q", F.lit(KEEP)).alias("most")), f"mcd-cut-{step}")
+    return stage(_moments(d.join(most, ["g", "start"]).where("q <= most"), consistency(KEEP, _D)), f"mcd-{step}")
+
+
+def _key(*columns: str) -> Column:
+    """A group as text; null is a value of its own, and no two groups share a text."""
+    named = [F.coalesce(F.concat(F.length(c).cast("string"), F.lit("="), F.col(c)), F.lit("null")) for c in columns]
+    return F.concat_ws("/", F.lit(str(len(columns))), *named)
+
+
+def estimates(v: DataFrame) -> DataFrame:
+    """g, n, mean, cov, logdet of every group of all three levels. ``v``: lang, source and the statistics."""
+    names = list(FEATURES)
+    v = v.select(F.explode(F.array(_key("lang", "source"), _key("lang"), _key())).alias("g"), F.xxhash64("doc_id", *names).alias("id"), *names)
+    first = stage(_middle(v), "mcd-0")
+    # subsets by a hash of the document: about SUBSET documents of each group, others for each start
+    some = v.join(first.select("g", F.greatest(F.lit(1), F.floor(F.col("n") / SUBSET)).alias("one_in")), "g").withColumn("start", F.explode(F.array(*[F.lit(i) for i in range(1, STARTS)])))
+    seeds = _moments(some.where(F.pmod(F.xxhash64("start", "id"), F.col("one_in")) == 0), 1.0)
+    est = stage(first.select("g", "start", "mean", "inv").unionByName(seeds.select("g", "start", "mean", "inv")), "mcd-starts")
+    for step in range(SHORT):
+        est = _concentrated(v, est, f"short{step}")
+    # the least determinant, then the first start
+    est = est.groupBy("g").agg(F.min(F.struct("logdet", "start", "mean", "inv")).alias("b")).select("g", "b.*")
+    for step in range(LONG):
+        est = _concentrated(v, est, f"long{step}")
+    return est.drop("n", "inv").join(first.select("g", "n"), "g").select("g", "n", "mean", "cov", "logdet")
+
+
+def _pooled(n: float, mean, cov, other_mean, other_cov):
+    """``n`` documents of one estimate and PSEUDO of another as one."""
+    w = n / (n + PSEUDO)
+    gap = mean - other_mean
+    return w * mean + (1 - w) * other_mean, w * cov + (1 - w) * other_cov + w * (1 - w) * np.outer(gap, gap)
+
+
+def _shrunk(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for b in rows:
+        out = []
+        for r in b.itertuples(index=False):
+            level = lambda e: (e["n"], np.asarray(e["mean"], dtype=float), _square(np.asarray(e["cov"], dtype=float)))
+            own, lang, everything = level(r.e0), level(r.e1), level(r.e2)
+            mean, cov = _pooled(*everything, everything[1], np.diag(_FLOOR) * WIDE**2)
+            mean, cov = _pooled(*own, *_pooled(*lang, mean, cov))
+            out.append((r.g, mean, np.linalg.inv(cov)[_I, _J]))
+        yield pd.DataFrame(out, columns=["g", "mean", "inv"])
+
+
+def _settled(est: DataFrame, groups: DataFrame) -> DataFrame:
+    """g, mean, inv for every (lang, source), with the levels above mixed in."""
+    packed = est.select("g", F.struct("n", "mean", "cov").alias("e"))
+    for i in range(3):
+        groups = groups.join(packed.withColumnsRenamed({"g": f"g{i}", "e": f"e{i}"}), f"g{i}")
+    return groups.select(F.col("g0").alias("g"), "e0", "e1", "e2").mapInPandas(_shrunk, "g string, mean array<double>, inv array<double>")
 
 
 def judged(docs: DataFrame) -> DataFrame:
-    """doc_id, the counts, base_failed, distance (squared; null where too few documents) and kept."""
+    """doc_id, the counts, base_failed, distance (squared; null in groups without a document of enough words) and kept."""
     v = stage(_vectors(statistics(docs)), "rules")
     usable = v.where(f"n_words >= {MIN_WORDS}")
-    levels = []
-    for i, keys in enumerate((["lang", "source"], ["lang"], [])):
-        e = estimates(usable, keys).where(f"n_group >= {MIN_GROUP}")
-        levels.append(e.select(*keys, F.struct("mean", "inv").alias(f"e{i}")))
-    out = v
-    for i, keys in enumerate((["lang", "source"], ["lang"], [])):
-        g = levels[i].select(*[F.col(k).alias(f"r_{k}") for k in keys], f"e{i}")
-        if keys:
-            on = F.col("lang").eqNullSafe(F.col("r_lang"))
-            on = on & F.col("source").eqNullSafe(F.col("r_source")) if "source" in keys else on
-            out = out.join(g, on, "left").drop("r_lang", "r_source")
-        else:
-            out = _join(out, g, [])
-    out = out.withColumn("e", F.coalesce("e0", "e1", "e2")).withColumns({"mean": F.col("e.mean"), "inv": F.col("e.inv")})
+    groups = usable.select(_key("lang", "source").alias("g0"), _key("lang").alias("g1"), _key().alias("g2")).distinct()
+    settled = stage(_settled(stage(estimates(usable), "mcd"), groups), "settled")
+    out = v.withColumn("g", _key("lang", "source")).join(settled, "g", "left")
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > REPEAT_PERCENT * F.col("n_words"))
     out = out.withColumn("base_failed", failed).withColumn("distance", F.when(F.col("mean").isNotNull(), _distance()))
     return out.select("doc_id", *COUNTS, "base_failed", "distance", (~F.col("base_failed") & F.coalesce(F.col("distance") <= CUT, F.lit(True))).alias("kept"))

@@ -124,3 +124,17 @@ def nearest(vectors, k=5, modulus=50):
 
 def crc(ids):
     return zlib.crc32(np.asarray(ids, dtype="<u4").tobytes())
+
+
+def least_determinant(x, share, scale, floor, starts=60):
+    """Mean and log determinant (scaled, with floors) of the minimum-covariance-determinant estimate, by many random starts."""
+    rng, h, best = np.random.default_rng(0), int(np.ceil(share * len(x))), None
+    for _ in range(starts):
+        core = x[rng.choice(len(x), min(len(x), 14), replace=False)]
+        for _ in range(30):
+            mean, cov = core.mean(axis=0), np.cov(core.T, bias=True) + np.diag(floor)
+            core = x[np.argsort(np.einsum("ni,ij,nj->n", x - mean, np.linalg.inv(cov), x - mean), kind="stable")[:h]]
+        got = np.linalg.slogdet(scale * np.cov(core.T, bias=True) + np.diag(floor))[1]
+        if best is None or got < best[1]:
+            best = core.mean(axis=0), got
+    return best

@@ -169,6 +169,22 @@ def test_rules_reject_outliers_and_keep_the_rest(spark):
     assert all(kept[i] for i in range(200)) and not any(kept[1000 + i] for i in range(4))
 
 
+def test_least_determinant(spark):
+    """The estimates against a plain search from many starts, with a quarter of outliers in a heap; one formula at every size."""
+    rng, names = np.random.default_rng(5), list(rules.FEATURES)
+    good = rng.normal(size=(300, 6)) * [3, 2, 1, 1, 2, 1]
+    v = np.round(np.vstack([good, rng.normal(size=(70, 6)) * 0.3 + 25])).astype(int) * rules.GRID // 4
+    rows = [(i, "en", "a" if i % 2 else None, *map(int, r)) for i, r in enumerate(v)] + [(1000, "fr", "b", *map(int, v[0]))]
+    df = spark.createDataFrame(rows, "doc_id long, lang string, source string, " + ", ".join(f"{n} long" for n in names))
+    est = {r["g"]: r for r in rules.estimates(df).collect()}
+    assert {k: r["n"] for k, r in est.items()} == {"0": 371, "1/2=en": 370, "1/2=fr": 1, "2/2=en/1=a": 185, "2/2=en/null": 185, "2/2=fr/1=b": 1}
+    for key, x in (("1/2=en", v), ("2/2=en/1=a", v[1::2]), ("0", np.vstack([v, v[:1]]))):
+        mean, logdet = plain.least_determinant(x / rules.GRID, rules.KEEP, rules.consistency(rules.KEEP, 6), np.square(list(rules.FEATURES.values())))
+        assert est[key]["logdet"] <= logdet + 0.05 and np.abs(np.array(est[key]["mean"]) - mean).max() < 0.25
+    assert np.allclose(est["1/2=fr"]["mean"], v[0] / rules.GRID)
+    assert rules.consistency(0.75, 6) == pytest.approx(1.362, abs=0.002)
+
+
 def test_license(docs, texts):
     for r in known(license.licenses(docs).collect()):
         assert (r["n_words"], r["n_base"], r["first_word"], r["last_word"], r["base_labels"]) == plain.licenses(texts[r["doc_id"]], license.BASE)
