@@ -2,20 +2,23 @@
 
 Two generative models over hashed n-grams - of target text (labelled good and not toxic) and of all raw text - give each
 document a log importance weight: the sum over its n-grams of log(target rate / raw rate). Documents are drawn without
-replacement by Gumbel top-k: the k largest of  weight + TEMPERATURE * Gumbel noise.  The noise is a function of the seed and
-the doc_id, so reruns agree. k is the number of documents whose weight reaches the threshold that best separates the
-labelled documents (a false rejection counts ``CAUTION`` times a miss); it is not a fixed share, so clean documents stay. A third
-of the labelled documents, by a hash of their ids, are kept out of the target model and set the threshold.
+replacement, each in proportion to its weight, by Gumbel top-k: the k largest of  log weight + Gumbel noise  (``TEMPERATURE``
+scales the noise; 1 is the sampling itself). The noise is a function of the seed and the doc_id, so reruns agree. The target
+size k may be given as a share of the documents (``share``); else it is the number of documents whose weight reaches the
+threshold that best separates the labelled documents (a false rejection counts ``CAUTION`` times a miss), so that clean
+documents stay. A third of the labelled documents, by a hash of their ids, are kept out of the target model and set the
+threshold.
 
 The raw model counts every document, the target model a bounded sample of the labelled ones (``LABELS``); both models have ``BUCKETS`` counts, which bounds what the driver
 holds. Rates are smoothed towards the raw model by ``PRIOR`` expected counts: a bucket the target has too little of to
-tell weighs nothing. Orders above 1 may be asked for; on held-out labels single words separated best.
+tell weighs nothing. Tokens are words and runs of signs; any ``orders`` of n-grams may be asked for. On held-out labels order
+1 separated best (README): pairs add more of the common weight of clean text than evidence against a few bad words.
 
 The k-th largest key is found by histograms of 1024 bins, each pass inside one bin of the last, not by a sort.
 
-Cases: null and empty texts have weight 0; without labels or without target text every document is kept; documents equal
-to the k-th key are all kept; rows with equal doc_ids and texts share a key; a null doc_id has noise of its own; extra
-columns are carried along; an empty table gives an empty result.
+Cases: null and empty texts have log weight 0; very long texts are read whole, in slices; without labels or without target
+text every document is kept; documents equal to the k-th key are all kept; rows with equal doc_ids and texts share a key;
+null doc_ids share one noise; extra columns are carried along; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -31,7 +34,7 @@ from corpusloom.llm import textkit as T
 from corpusloom.llm.license import IS_WORD
 from corpusloom.llm.shared import stage
 
-BUCKETS, PRIOR, TEMPERATURE, CAUTION, ORDERS, SEED = 1 << 18, 4.0, 0.02, 8.0, (1,), 11
+BUCKETS, PRIOR, TEMPERATURE, CAUTION, ORDERS, SEED = 1 << 18, 1.0, 1.0, 8.0, (1,), 11
 #: At most about so many labelled documents fit the target model and set the threshold.
 LABELS = 40_000
 #: Keys and thresholds are compared in multiples of 1/GRID.
@@ -126,7 +129,7 @@ def weight(ratios: np.ndarray, orders: tuple[int, ...] = ORDERS):
 
 
 def _key(score: Column, seed: int = SEED) -> Column:
-    """Weight plus scaled Gumbel noise, as a multiple of 1/GRID."""
+    """Log weight plus Gumbel noise, as a multiple of 1/GRID."""
     unit = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col("doc_id").cast("long")), 11).cast("double") + 0.5) / float(1 << 53)
     return F.round((score - F.lit(TEMPERATURE) * F.log(-F.log(unit))) * GRID).cast("long")
 
@@ -164,32 +167,36 @@ def kth_largest(keys: DataFrame, k: int, bins: int = 1024) -> int | None:
 
 
 class Classifier:
-    """Fitted on ``docs`` and ``labels``. ``verdict`` is a column over doc_id and text; ``scored`` holds all weights."""
+    """Fitted on ``docs`` and ``labels``. ``verdict`` is a column over doc_id and text; ``scored`` holds all weights; ``size``
+    is k, ``cut`` the k-th key."""
 
-    def __init__(self, docs: DataFrame, labels: DataFrame) -> None:
-        self.ratios = fit(docs, labels)
-        self.cut = self.scored = None
+    def __init__(self, docs: DataFrame, labels: DataFrame, share: float | None = None, orders: tuple[int, ...] = ORDERS) -> None:
+        self.ratios = fit(docs, labels, orders)
+        self.cut = self.scored = self.size = None
         if self.ratios is not None:
-            self.of = weight(self.ratios)
+            self.of = weight(self.ratios, orders)
             scored = docs.select(F.col("doc_id").cast("long"), self.of("text").alias("score"))
             self.scored = stage(_labelled(scored, labels).withColumn("key", _key(F.col("score"))), "scored")
-            at = threshold(self.scored)
-            if at is not None:
-                k = self.scored.where(F.col("score") >= at).count()
-                self.cut = kth_largest(self.scored, k)
+            at = threshold(self.scored) if share is None else None
+            if share is not None:
+                self.size = round(share * self.scored.count())
+            elif at is not None:
+                self.size = self.scored.where(F.col("score") >= at).count()
+            if self.size is not None:
+                self.cut = kth_largest(self.scored, self.size) if self.size else 1 << 62  # k of 0 keeps nothing
 
     def verdict(self) -> Column:
         return F.lit(True) if self.cut is None else _key(self.of("text")) >= self.cut
 
 
-def judged(docs: DataFrame, labels: DataFrame) -> DataFrame:
+def judged(docs: DataFrame, labels: DataFrame, share: float | None = None) -> DataFrame:
     """doc_id, log_weight, sample_key, kept of every document."""
-    c = Classifier(docs, labels)
+    c = Classifier(docs, labels, share)
     if c.scored is None:
         return docs.select(F.col("doc_id").cast("long"), F.lit(0.0).alias("log_weight"), F.lit(0.0).alias("sample_key"), F.lit(True).alias("kept"))
     return c.scored.select("doc_id", F.col("score").alias("log_weight"), (F.col("key") / GRID).alias("sample_key"), (F.lit(True) if c.cut is None else F.col("key") >= c.cut).alias("kept"))
 
 
-def selected(docs: DataFrame, labels: DataFrame) -> DataFrame:
+def selected(docs: DataFrame, labels: DataFrame, share: float | None = None) -> DataFrame:
     """``docs`` without the rejected rows, with all columns."""
-    return docs.where(Classifier(docs, labels).verdict())
+    return docs.where(Classifier(docs, labels, share).verdict())
