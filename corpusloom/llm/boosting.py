@@ -1,7 +1,8 @@
 """Small gradient-boosted trees with logistic loss, in numpy, for models trained on the driver.
 
 Features are cut at quantiles into at most ``BINS`` bins; trees grow level by level on histograms of gradients.
-Training is deterministic. ``calibrate`` picks the smallest threshold that keeps a wanted precision on held-out rows.
+Training is deterministic. ``calibrate`` picks the smallest threshold that surely keeps a wanted
+precision on held-out rows.
 """
 
 from __future__ import annotations
@@ -64,9 +65,15 @@ def train(x: np.ndarray, y: np.ndarray, rounds: int = 40, depth: int = 3, rate:
     return model
 
 
-def calibrate(score: np.ndarray, y: np.ndarray, precision: float) -> float:
-    """The smallest threshold at which held-out rows scored at least that much have the wanted precision."""
+def calibrate(score: np.ndarray, y: np.ndarray, precision: float, sure: float = 1.645) -> float:
+    """The smallest threshold at which held-out rows scored at least that much have the wanted precision, by the lower end of
+    its Wilson interval (``sure`` standard deviations); 1.1 if none has. Half-way down to the next score, as nothing was seen between."""
     order = np.argsort(-score, kind="stable")
-    right = np.cumsum(y[order]) / np.arange(1, len(y) + 1)
-    good = np.flatnonzero(right >= precision)
-    return float(score[order][good[-1]]) if len(good) else 1.1
+    n = np.arange(1, len(y) + 1)
+    right, z2 = np.cumsum(y[order]) / n, sure * sure
+    least = (right + z2 / (2 * n) - sure * np.sqrt(right * (1 - right) / n + z2 / (4 * n * n))) / (1 + z2 / n)
+    good = np.flatnonzero((least >= precision) & (np.append(np.diff(score[order]), -1.0) < 0))  # rows of one score go together
+    if not len(good):
+        return 1.1
+    at = good[-1]
+    return float((score[order][at] + (score[order][at + 1] if at + 1 < len(y) else 0.0)) / 2)
