@@ -3,16 +3,19 @@
 Trees are fitted on a bounded sample (``SAMPLE`` vectors): a node splits at the median of the projection on the difference
 of two sampled vectors. Every vector is indexed: it goes to one leaf of each tree. A query walks all trees from one
 priority queue ordered by the smallest margin on the way (the side not taken costs its distance to the plane) and visits
-leaves until they hold ``max(FLOOR, SHARE * n)`` entries. Leaves and the queries that visit them meet by (tree, leaf);
+leaves until they hold its budget of entries. Leaves and the queries that visit them meet by (tree, leaf);
 a leaf's or a query list's surplus over ``CHUNK`` is dealt into chunks, so no task holds more. Each meeting emits a few
 best per query; those are ranked exactly, in double precision on the original vectors.
 
+One formula sets the work at every size: trees are as deep as leaves of ``LEAF`` vectors need (``DEEPEST`` at most, as planes
+are sent to every task), and a query's leaves hold ``BUDGET * n ** POWER`` entries, which grows slower than the table.
+
 Equal vectors are indexed once, with the few smallest ids of each (found in salted steps, so a vector that a third of
-all rows share is split), since only those can be among the nearest. ``SHARE`` is large because vectors without clusters
+all rows share is split), since only those can be among the nearest. The budget is large because vectors without clusters
 need it: see the README for measured recall.
 
-Cases: vectors that are null, zero, hold null or non-finite components, or have another length than most, and rows
-without an id take no part; fewer candidates than asked give fewer rows; ties go to the smaller id; repeated ids count once; extra columns are
+Cases: vectors that are null, zero, hold null or non-finite components, or have another length than most (a cosine
+between lengths is not defined), and rows without an id take no part; fewer candidates than asked give fewer rows; ties go to the smaller id; repeated ids count once; extra columns are
 ignored; an empty table gives an empty result.
 """
 
@@ -28,14 +31,14 @@ from pyspark.sql import functions as F
 
 from corpusloom.llm.shared import stage
 
-SAMPLE, TREES, DEPTH = 20_000, 16, 6
-SHARE, FLOOR, CHUNK, SALTS = 0.8, 16_384, 20_000, 32
+SAMPLE, TREES, LEAF, DEEPEST = 20_000, 16, 200, 10
+BUDGET, POWER, CHUNK, SALTS = 12.0, 0.72, 20_000, 32
 
 
 class Forest:
     """Planes of all trees: node i has children 2i + 1 and 2i + 2."""
 
-    def __init__(self, sample: np.ndarray, trees: int = TREES, depth: int = DEPTH, seed: int = 5) -> None:
+    def __init__(self, sample: np.ndarray, depth: int, trees: int = TREES, seed: int = 5) -> None:
         rng, dim = np.random.default_rng(seed), sample.shape[1]
         self.depth, inner = depth, 2**depth - 1
         self.planes = np.zeros((trees, inner, dim), dtype=np.float32)
@@ -144,7 +147,7 @@ def usable(vectors: DataFrame) -> DataFrame:
     return v.where((F.size("v") == dim) & ~infinite & F.exists("v", lambda x: x != 0.0))
 
 
-def nearest(vectors: DataFrame, k: int = 5, modulus: int = 50, share: float = SHARE, floor: int = FLOOR) -> DataFrame:
+def nearest(vectors: DataFrame, k: int = 5, modulus: int = 50, budget: float = BUDGET, power: float = POWER) -> DataFrame:
     """query_id, rank, vec_id, score: the ``k`` nearest found of each row whose id is divisible by ``modulus``."""
     spark = vectors.sparkSession
     empty = "query_id long, rank int, vec_id long, score double"
@@ -160,15 +163,16 @@ def nearest(vectors: DataFrame, k: int = 5, modulus: int = 50, share: float = SH
         return spark.createDataFrame([], empty)
     sample = distinct.where(F.pmod(F.xxhash64("rep"), F.lit(max(1, n // SAMPLE))) == 0).select("rep", "v").toPandas() if n > SAMPLE else distinct.select("rep", "v").toPandas()
     sample = sample.sort_values("rep")
-    forest = Forest(_unit(sample["v"]) if len(sample) else np.zeros((0, 1), dtype=np.float32))
+    depth = min(DEEPEST, max(1, round(np.log2(n / LEAF))))
+    forest = Forest(_unit(sample["v"]) if len(sample) else np.zeros((0, 1), dtype=np.float32), depth)
     dim = forest.planes.shape[2]
     posted = distinct.select("rep", "v").mapInPandas(_poster(forest), "tree int, leaf int, rep long, raw binary")
     posted = stage(posted, "leaves")
-    sizes = np.zeros((TREES, 2**DEPTH), dtype=np.int64)
+    sizes = np.zeros((TREES, 2**depth), dtype=np.int64)
     for r in posted.groupBy("tree", "leaf").count().collect():  # at most trees times leaves
         sizes[r["tree"], r["leaf"]] = r["count"]
     wanted = rows.where(F.pmod("vec_id", F.lit(modulus)) == 0).select(F.col("vec_id").alias("query_id"), "v")
-    asked = stage(wanted.mapInPandas(_asker(forest, sizes, max(floor, share * n)), "tree int, leaf int, query_id long, raw binary"), "asked")
+    asked = stage(wanted.mapInPandas(_asker(forest, sizes, budget * n**power), "tree int, leaf int, query_id long, raw binary"), "asked")
     load = [(r["tree"], r["leaf"], int(-(-sizes[r["tree"], r["leaf"]] // CHUNK)), int(-(-r["count"] // CHUNK))) for r in asked.groupBy("tree", "leaf").count().collect()]
     load = F.broadcast(spark.createDataFrame(load or [(0, 0, 1, 1)], "tree int, leaf int, vs int, qs int"))  # at most trees times leaves
     part = lambda key, n: F.pmod(F.xxhash64(key), F.col(n)).cast("int")
