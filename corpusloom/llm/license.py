@@ -2,14 +2,15 @@
 
 A rule is a regular expression over the lower-cased text with a label, a priority, a confidence and the keywords it
 cannot match without. A text is first searched for keywords in one pass; only rules all of whose keywords were seen
-run. Detections that overlap are then resolved: a detection whose interval lies inside another's of the same or a
-better priority is suppressed. The base phrases (``BASE``) are looked up beside the rules and always stay.
+run. Detections that overlap are then resolved: a detection is suppressed if its interval lies inside another's of the same or
+a better priority, or inside a longer one whose priority is at most ``SLACK`` worse. The base phrases (``BASE``) are looked up beside the rules and always stay.
 
 Rules come from families times forms (full name, header sentence, SPDX tag, url, abbreviation with version), see
 ``build_rules``. Everything is computed row by row on whole texts: no shuffle, memory bounded by the text at hand.
 
-Cases: null text counts as empty: no words, no places, null first and last word, empty labels and score 0. Repeated
-rows are each scanned; an empty table gives an empty result.
+Cases: null text counts as empty: no words, no places, null first and last word, empty labels and score 0; very long texts
+are scanned whole, each in a slice of its own; of detections with one interval and one priority the first rule's stays; rows
+without an id and repeated rows are each scanned; extra columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -80,6 +81,10 @@ SENTENCES = (
 )
 
 
+#: How much worse the priority of a longer detection may be that suppresses one inside it.
+SLACK = 30
+
+
 class Rule(NamedTuple):
     label: str
     priority: int
@@ -162,8 +167,9 @@ def detect(text: bytes) -> list[tuple[int, int, Rule]]:
     kept: list[tuple[int, int, Rule]] = []
     open_: list[tuple[int, int, Rule]] = []
     for x in found:
-        open_ = [y for y in open_ if y[1] >= x[1]]
-        if not any(y[2].priority <= x[2].priority or (y[0], y[1]) != (x[0], x[1]) and y[1] - y[0] > x[1] - x[0] and y[2].priority <= x[2].priority + 30 for y in open_):
+        open_ = [y for y in open_ if y[1] > x[0]]  # later ones start behind the others
+        around = (y for y in open_ if y[1] >= x[1])
+        if not any(y[2].priority <= x[2].priority + (SLACK if y[1] - y[0] > x[1] - x[0] else 0) for y in around):
             kept.append(x)
         open_.append(x)
     return kept
