@@ -8,10 +8,11 @@ every document. Postings are keyed by doc_id, so copies of a text spread over ma
 trigram ever meets in one task. Rows that share a doc_id share their candidates, a superset that matching then narrows.
 
 Positions: the text is split at the matches; start and end follow from the lengths of the pieces, in code points, summed
-in blocks so that a text with very many matches stays near linear.
+in blocks and blocks of blocks, so that a text with very many matches stays near linear.
 
-Cases: null text counts as empty; a null doc_id is keyed by its text; repeated rows each get their row; extra columns are
-ignored; an empty table gives an empty result.
+Cases: null text counts as empty; a null doc_id is keyed by its text; very long texts are scanned whole; spans that start
+together are in the order of the rules; repeated rows each get their row; extra columns are ignored; an empty table gives an
+empty result.
 """
 
 from __future__ import annotations
@@ -239,10 +240,17 @@ def _blocks(hit: Column) -> Column:
     return F.struct(*[hit[c].alias(c) for c in ("kind", "gap", "len", "size", "step")], sums.alias("sums"))
 
 
+def _outer(hit: Column) -> Column:
+    """Sums of blocks of blocks, beside the others."""
+    outer = F.sequence(F.lit(0), F.floor((F.size(hit["sums"]) - 1) / BLOCK).cast("int"))
+    sums = F.transform(outer, lambda b: _sum(F.slice(hit["sums"], b * BLOCK + 1, F.lit(BLOCK))))
+    return F.struct(*[hit[c].alias(c) for c in ("kind", "gap", "len", "size", "step", "sums")], sums.alias("outer"))
+
+
 def _spans(hit: Column) -> Column:
     def at(i: Column) -> Column:
-        block = F.floor(i / BLOCK).cast("int")
-        start = _sum(F.slice(hit["sums"], F.lit(1), block)) + _sum(F.slice(hit["step"], block * BLOCK + 1, i - block * BLOCK)) + F.get(hit["gap"], i)
+        block, far = F.floor(i / BLOCK).cast("int"), F.floor(i / BLOCK**2).cast("int")
+        start = _sum(F.slice(hit["outer"], F.lit(1), far)) + _sum(F.slice(hit["sums"], far * BLOCK + 1, block - far * BLOCK)) + _sum(F.slice(hit["step"], block * BLOCK + 1, i - block * BLOCK)) + F.get(hit["gap"], i)
         least = F.element_at(F.array(*[F.lit(r.least) for r in RULES]), hit["kind"] + 1)
         return F.when(F.get(hit["size"], i) >= least, F.struct(start.alias("start"), hit["kind"].alias("kind"), (start + F.get(hit["len"], i)).alias("end")))
 
@@ -253,7 +261,7 @@ def _found(text: Column) -> Column:
     """Array of (start, kind, end) in order of start, then rule; null where nothing matched."""
 
     def located(hits: Column) -> Column:
-        steps = F.transform(F.transform(hits, _located), _blocks)
+        steps = F.transform(F.transform(F.transform(hits, _located), _blocks), _outer)
         return F.when(F.size(hits) > 0, F.array_sort(F.array_compact(F.flatten(F.transform(steps, _spans)))))
 
     return let(text, lambda t: let(F.array_compact(F.array(*[_hit(t, i, r) for i, r in enumerate(RULES)])), located))
@@ -290,25 +298,29 @@ def secrets(docs: DataFrame) -> DataFrame:
 MASK = "[secret]"
 
 
-def _replaced(rule: Rule) -> str:
-    """The rule's expression with its least length inside, so that only what would be reported is replaced."""
-    if not rule.pattern.endswith(("+", "+)")) or rule.least == 0:
-        return rule.pattern
-    least = rule.least if rule.group else rule.least - len("AKIA")
-    return re.sub(r"\+(\)?)$", lambda m: "{%d,}%s" % (least, m[1] or ""), rule.pattern)
+def _masked(text: Column, rule: Column) -> Column:
+    """``text`` with the matches of a rule replaced that are long enough to be reported, in one pass."""
+    rx = rule["rx"]
+
+    def joined(parts: Column) -> Column:
+        piece = lambda p: F.concat(p["gap"], F.when(p["all"].isNull(), "").when(F.length(p["part"]) >= rule["least"], MASK).otherwise(p["all"]))
+        return F.array_join(F.transform(parts, piece), "")
+
+    parts = F.arrays_zip(F.split(text, rx, -1).alias("gap"), F.regexp_extract_all(text, rx, F.lit(0)).alias("all"), F.regexp_extract_all(text, rx, rule["group"]).alias("part"))
+    return F.when(F.rlike(text, rx), let(parts, joined)).otherwise(text)
 
 
 def redacted(docs: DataFrame) -> DataFrame:
-    """``docs`` with every secret in ``text`` replaced; n_chars, where it is a column, follows. Null texts stay null.
+    """``docs`` with every reported secret in ``text`` replaced; n_chars, where it is a column, follows. Null texts stay null.
 
     One replacement after the other, each linear in the text; a rule with a trigram query runs on its candidates only.
     Private keys come first: another rule may take a part of the BEGIN line or of the body, which would hide the rest.
     """
     order = sorted(enumerate(RULES), key=lambda x: x[1].kind != "private_key")
-    rules = F.array(*[F.struct(F.lit(1 << i if queries()[i] else 0).cast("long").alias("bit"), F.lit(_replaced(r)).alias("rx")) for i, r in order])
+    rules = F.array(*[F.struct(F.lit(1 << i if queries()[i] else 0).cast("long").alias("bit"), F.lit(r.pattern).alias("rx"), F.lit(r.group).alias("group"), F.lit(r.least).alias("least")) for i, r in order])
     out = with_candidates(docs.select(F.struct("*").alias("ss_doc"), "doc_id", "text"))
     due = F.filter(rules, lambda r: F.col("ss_rules").bitwiseAND(r["bit"]) == r["bit"])
-    out = out.select("ss_doc", F.aggregate(due, F.col("text"), lambda t, r: F.regexp_replace(t, r["rx"], F.lit(MASK))).alias("ss_text"))
+    out = out.select("ss_doc", F.aggregate(due, F.col("text"), _masked).alias("ss_text"))
     kinds = dict(docs.dtypes)
     new = {"text": F.col("ss_text"), "n_chars": F.length("ss_text").cast(kinds.get("n_chars", "long"))}
     return out.select(*[new.get(c, F.col("ss_doc")[c]).alias(c) for c in docs.columns])
