@@ -2,15 +2,17 @@
 
 Every source gets a target number of words. A document's expected copies are target / source size, so the prefix sums
 of a source are (rank * ratio); one offset per source is added, and a document is emitted once for each integer that
-its interval of the prefix sum crosses. Documents are ranked by (size, doc_id), which stratifies the sample by size: a
+its interval of the prefix sum crosses. Documents are ranked by (size, a hash of doc_id, doc_id), which stratifies the sample by size: a
 source's words stay within about one document of its target.
 
-The rank inside a source is built from three levels of counts - (source, size), then blocks of doc_id, then
-``row_number`` inside a block - so that a source or a group of equal documents with a third of all rows is never
-sorted in one task. Only counts meet: the largest window by source has one row for each distinct size.
+The rank inside a source is built from three levels of counts - (source, size), then ``BUCKETS`` buckets by hash, then
+``row_number`` inside a bucket - so that a source or one size of it with a third of all rows, whatever its ids look like, is
+never sorted in one task. Only counts meet: the largest window by source has one row for each distinct size, the largest
+by (source, size) one for each bucket, and the one over all sources one row for each source.
 
 Cases: a null source is a source of its own, last in order; null text has size 0; a source of size 0 has target 0 and
-takes nothing; documents with a null doc_id come first among equals; repeated rows each have their own interval; extra
+takes nothing; documents with a null doc_id come first among equals and share a bucket, as do rows of one doc_id, which
+has one row in a sound table; repeated rows each have their own interval; very long texts are counted where they are; extra
 columns, whatever their names, are carried along; an empty table gives an empty result.
 """
 
@@ -22,8 +24,8 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5, 2, 1)
 SHARE, CAP, SEED = 1.5, 2.0, "mix-1"
-#: Documents whose ids agree but for this many low bits form a block.
-BLOCK_BITS = 12
+#: Buckets of a size of a source, by four hexadecimal digits of a hash of the id.
+BUCKETS = 1 << 16
 
 
 def word_count(text="text"):
@@ -58,7 +60,7 @@ def mix(docs: DataFrame, counted: DataFrame | None = None, **options) -> DataFra
 
     ``counted``: the same rows' doc_id, source and mx_size alone, if they can be read more cheaply than ``docs``.
     """
-    keys = {"mx_null": F.col("source").isNull(), "mx_src": F.coalesce(F.col("source"), F.lit("")), "mx_block": F.coalesce(F.shiftright(F.col("doc_id").cast("long"), BLOCK_BITS), F.lit(-(2**62)))}
+    keys = {"mx_null": F.col("source").isNull(), "mx_src": F.coalesce(F.col("source"), F.lit("")), "mx_block": F.coalesce(F.conv(F.substring(F.md5(F.col("doc_id").cast("long").cast("string")), 1, 4), 16, 10).cast("int"), F.lit(-1))}
     small = (docs if counted is None else counted).select("doc_id", "source", "mx_size").withColumns(keys)
     blocks = small.groupBy("mx_src", "mx_null", "mx_size", "mx_block").agg(F.count(F.lit(1)).alias("mx_n"))
     sizes = blocks.groupBy("mx_src", "mx_null", "mx_size").agg(F.sum("mx_n").alias("mx_n"))

@@ -34,8 +34,8 @@ from pyspark.sql import functions as F
 from corpusloom.llm.shared import stage
 
 WINDOW, END_ID = 1024, 0
-#: Buckets in which pieces of one length are ranked.
-BUCKETS = 256
+#: Pieces of a bucket, about: pieces are ranked by (length, bucket), and one length may hold most of them.
+BUCKET_ROWS = 20_000
 TOKENIZER, RANKS = "byte_bpe_50k.json", "byte_bpe_50k.tiktoken"
 #: The special token of the vocabulary; a text that spells it takes the slow path.
 SPECIAL = "<|endoftext|>"
@@ -234,7 +234,7 @@ def pack(docs: DataFrame, window: int = WINDOW, paths: tuple[str, str] | None =
     spark = docs.sparkSession
     kept = docs.select(F.col("doc_id").cast("long"), "text")
     pieces = stage(kept.mapInArrow(_pieces(window, paths or tokenizer_paths(), keep_ids), _PIECE_SQL), "pieces")
-    pieces = pieces.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "start"), F.lit(BUCKETS)).cast("int"))
+    pieces = pieces.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "start"), F.lit(pieces.count() // BUCKET_ROWS + 1)).cast("int"))
     counts = stage(pieces.groupBy("length", "bucket").agg(F.count(F.lit(1)).alias("n")), "lengths")
     hist = np.zeros(window + 1, dtype=np.int64)
     for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect():  # at most ``window`` rows
