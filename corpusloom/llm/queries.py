@@ -42,7 +42,7 @@ t AS (
   SELECT source, source_size, CASE WHEN capped THEN mx ELSE w * (SELECT level FROM f WHERE NOT capped ORDER BY ratio, pos LIMIT 1) END AS target,
     ('0x' || substr(md5('{mixing.SEED}:' || CASE WHEN source IS NULL THEN 'n' ELSE 's' || source END), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS u
   FROM f),
-k AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY size, doc_id NULLS FIRST) AS rk FROM d),
+k AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY size, coalesce(('0x' || substr(md5(doc_id::VARCHAR), 1, 4))::INTEGER, -1), doc_id NULLS FIRST) AS rk FROM d),
 j AS (SELECT k.doc_id, k.size, k.rk, t.source_size, t.target, t.u, CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0.0::DOUBLE END AS ratio
   FROM k JOIN t ON k.source IS NOT DISTINCT FROM t.source)
 SELECT doc_id, size, source_size, target, ((floor(rk * ratio + u) - floor((rk - 1) * ratio + u))::BIGINT * size)::BIGINT AS taken FROM j
@@ -91,16 +91,6 @@ def op1_forest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(table(spark, sf_dir, "embeddings"))
 
 
-SQL["op1_forest_neighbours"] = """
-WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings),
-p AS (
-  SELECT a.vec_id AS query_id, b.vec_id, list_cosine_similarity(a.v, b.v) AS score
-  FROM v a JOIN v b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id),
-r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM p)
-SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
-"""
-
-
 @query
 def op5_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bytes removed from every document because a string of 100 bytes starts earlier."""

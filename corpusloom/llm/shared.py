@@ -11,23 +11,41 @@ from pyspark.sql import functions as F
 LOCAL_FALLBACK = "file:///tmp/checkpoints"
 
 
+#: Tables that this driver wrote, for ``release``.
+_WRITTEN: list[str] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; a local one is set only where that is unset."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder of ``spark.checkpoint.dir``, else the context's checkpoint folder. A local one is set only where neither is and
+    everything runs on one machine; executors elsewhere would each write to a disk of their own, so that is an error."""
+    context = spark.sparkContext
+    held = context._jsc.sc().getCheckpointDir()
+    named = spark.conf.get("spark.checkpoint.dir", None) or (held.get() if held.isDefined() else None)
     if not named:
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         named = LOCAL_FALLBACK
-        if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-            spark.sparkContext.setCheckpointDir(named)
+        context.setCheckpointDir(named)
     return named.rstrip("/")
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back: lineage is cut and the work is done once."""
     path = f"{shared_dir(df.sparkSession)}/stage-{name}-{uuid.uuid4().hex}"
+    _WRITTEN.append(path)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> int:
+    """Remove the tables that ``stage`` wrote, once their results are kept elsewhere; lazy results read them until then."""
+    conf, n = spark._jsc.hadoopConfiguration(), 0
+    while _WRITTEN:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
+        n += bool(path.getFileSystem(conf).delete(path, True))
+    return n
+
+
 def text_or_empty(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 
