@@ -298,29 +298,50 @@ def secrets(docs: DataFrame) -> DataFrame:
 MASK = "[secret]"
 
 
-def _masked(text: Column, rule: Column) -> Column:
-    """``text`` with the matches of a rule replaced that are long enough to be reported, in one pass."""
-    rx = rule["rx"]
+#: A text is cut from pieces of so many code points, so that a cut costs this much and not the text's length.
+PIECE = 1024
 
-    def joined(parts: Column) -> Column:
-        piece = lambda p: F.concat(p["gap"], F.when(p["all"].isNull(), "").when(F.length(p["part"]) >= rule["least"], MASK).otherwise(p["all"]))
-        return F.array_join(F.transform(parts, piece), "")
 
-    parts = F.arrays_zip(F.split(text, rx, -1).alias("gap"), F.regexp_extract_all(text, rx, F.lit(0)).alias("all"), F.regexp_extract_all(text, rx, rule["group"]).alias("part"))
-    return F.when(F.rlike(text, rx), let(parts, joined)).otherwise(text)
+def _cut(pieces: Column, start: Column, end: Column) -> Column:
+    """Code points ``start`` to ``end`` of the text that the pieces make up."""
+    first, last = F.floor(start / PIECE).cast("int"), F.floor((end - 1) / PIECE).cast("int")
+    one = F.substring(F.get(pieces, first), start - first * PIECE + 1, end - start)
+    many = F.concat(F.substring(F.get(pieces, first), start - first * PIECE + 1, F.lit(PIECE)), F.array_join(F.slice(pieces, first + 2, last - first - 1), ""), F.substring(F.get(pieces, last), F.lit(1), end - last * PIECE))
+    return F.when(end <= start, "").when(first == last, one).otherwise(many)
 
 
-def redacted(docs: DataFrame) -> DataFrame:
-    """``docs`` with every reported secret in ``text`` replaced; n_chars, where it is a column, follows. Null texts stay null.
+def _without(text: Column, spans_: Column) -> Column:
+    """``text`` with everything that a span covers replaced; spans are in order of their starts and may overlap."""
+    least = lambda a: F.coalesce(F.array_max(a), F.lit(0))
+    groups = lambda a: F.sequence(F.lit(0), F.floor((F.size(a) - 1) / BLOCK).cast("int"))
+    upper = lambda a: F.transform(groups(a), lambda b: F.array_max(F.slice(a, b * BLOCK + 1, F.lit(BLOCK))))
+
+    def joined(held: Column) -> Column:
+        ends, blocks, outer, pieces = (held[c] for c in ("ends", "blocks", "outer", "pieces"))
+
+        def reached(i: Column) -> Column:
+            """How far the spans before the i-th reach."""
+            block, far = F.floor(i / BLOCK).cast("int"), F.floor(i / BLOCK**2).cast("int")
+            return F.greatest(least(F.slice(outer, F.lit(1), far)), least(F.slice(blocks, far * BLOCK + 1, block - far * BLOCK)), least(F.slice(ends, block * BLOCK + 1, i - block * BLOCK)))
+
+        def part(span: Column, i: Column) -> Column:
+            return let(reached(i), lambda at: F.when(span["start"] >= at, F.concat(_cut(pieces, at, span["start"]), F.lit(MASK))).otherwise(""))
+
+        return F.concat(F.array_join(F.transform(held["spans"], part), ""), let(reached(F.size(ends)), lambda at: _cut(pieces, at, held["size"])))
 
-    One replacement after the other, each linear in the text; a rule with a trigram query runs on its candidates only.
-    Private keys come first: another rule may take a part of the BEGIN line or of the body, which would hide the rest.
-    """
-    order = sorted(enumerate(RULES), key=lambda x: x[1].kind != "private_key")
-    rules = F.array(*[F.struct(F.lit(1 << i if queries()[i] else 0).cast("long").alias("bit"), F.lit(r.pattern).alias("rx"), F.lit(r.group).alias("group"), F.lit(r.least).alias("least")) for i, r in order])
+    def outlined(held: Column) -> Column:
+        return let(F.struct(*[held[c].alias(c) for c in ("spans", "ends", "blocks")], upper(held["blocks"]).alias("outer"), F.regexp_extract_all(text, F.lit("(?s).{1,%d}" % PIECE), F.lit(0)).alias("pieces"), F.length(text).alias("size")), joined)
+
+    ends = F.transform(spans_, lambda s: s["end"])
+    return let(F.struct(spans_.alias("spans"), ends.alias("ends"), upper(ends).alias("blocks")), outlined)
+
+
+def redacted(docs: DataFrame) -> DataFrame:
+    """``docs`` with every reported span of ``text`` replaced, overlapping ones by one mask; n_chars, where it is a column,
+    follows. Null texts stay null. Spans are found on the text as it is, so none hides another."""
     out = with_candidates(docs.select(F.struct("*").alias("ss_doc"), "doc_id", "text"))
-    due = F.filter(rules, lambda r: F.col("ss_rules").bitwiseAND(r["bit"]) == r["bit"])
-    out = out.select("ss_doc", F.aggregate(due, F.col("text"), _masked).alias("ss_text"))
+    masked = lambda t: let(_found(t), lambda s: F.when(F.size(F.coalesce(s, F.array())) > 0, _without(t, s)).otherwise(t))
+    out = out.select("ss_doc", F.when(F.col("text").isNotNull(), let(F.col("text"), masked)).alias("ss_text"))
     kinds = dict(docs.dtypes)
     new = {"text": F.col("ss_text"), "n_chars": F.length("ss_text").cast(kinds.get("n_chars", "long"))}
     return out.select(*[new.get(c, F.col("ss_doc")[c]).alias(c) for c in docs.columns])

@@ -279,7 +279,7 @@ def test_secrets_are_replaced_whole(spark):
         (f"a\n{key(kind='')}\nmiddle - of it\n{key('\r\n', 'EC ')}\nb", "a\n[secret]\nmiddle - of it\n[secret]\nb"),
         (f'{{"k": "{key("\\n", "")}\\n", "x": 1}}', '{"k": "[secret]\\n", "x": 1}'),
         (f"a {key(head=head)} b", "a [secret] b"),
-        (f"secret = '{key(n=9)}' b", "secret = '[secret]' b"),
+        (f"secret = '{key(n=9)}' b", "[secret]' b"),  # the assignment is a span too, and reaches into the key
         (f"a {key(end=False)}\nThen the text goes on.", "a [secret]\nThen the text goes on."),
         (f"a {key(end=False, n=4)}", "a [secret]"),
         (f"a {key(head=head, end=False, n=5)}\n\nThanks for all.", "a [secret]\n\nThanks for all."),
@@ -508,3 +508,21 @@ def test_span_hashes_do_not_depend_on_slices():
 
 def test_every_contract_is_registered():
     assert {int(k[2:].split("_")[0]) for k in queries.QUERIES} == set(range(1, 11))
+
+
+def test_cuts_at_many_places(spark):
+    """Overlapping, touching and nested spans over pieces and blocks, against cutting by hand."""
+    rng = random.Random(14)
+    rows = []
+    for i in range(30):
+        n = rng.choice([1, 5, 1023, 1024, 1025, 5000])
+        text = "".join(rng.choice("aé🙂z\n") for _ in range(n))
+        spans = sorted((a, rng.randrange(3), min(n, a + rng.choice([1, 2, 40, 1500]))) for a in (rng.randrange(n) for _ in range(rng.choice([1, 3, 400]))))
+        want, at = "", 0
+        for a, _, b in spans:
+            if a >= at:
+                want += text[at:a] + "[secret]"
+            at = max(at, b)
+        rows.append((i, text, spans, want + text[at:]))
+    df = spark.createDataFrame(rows, "id long, text string, spans array<struct<start:int,kind:int,end:int>>, want string")
+    assert df.select((secretscan._without(F.col("text"), F.col("spans")) == F.col("want")).alias("same"), "id").where("not same").count() == 0
