@@ -38,6 +38,9 @@ WINDOW, MIN_WORDS, REPEAT_PERCENT = 8, 20, 30
 GRID, KEEP, STARTS, SHORT, LONG = 1024, 0.75, 4, 2, 2
 #: Documents of a random start, about; documents taken from the level above; the prior's scale in floors.
 SUBSET, PSEUDO, WIDE = 24, 40, 4.0
+#: Documents of a part of a group, about. What a group has to know goes to each of its parts, so that a join never gathers a
+#: group (the one of all documents is the largest) and every aggregation is combined before it is shuffled.
+PART = 100_000
 #: Names and floors (in units of the statistic) of the statistics.
 FEATURES = {"f_length": 0.9, "f_word": 0.35, "f_symbol": 0.03, "f_repeat": 0.12, "f_lines": 0.12, "f_distinct": 0.08}
 #: Squared distance beyond which a document is an outlier. Wide (a Gaussian of 6 statistics stays below 45 but for one in
@@ -185,11 +188,16 @@ def _moments(v: DataFrame, scale: float) -> DataFrame:
     return sums.mapInPandas(_estimate(scale), _EST)
 
 
-def _middle(v: DataFrame) -> DataFrame:
+def _to_parts(known: DataFrame, parts: DataFrame) -> DataFrame:
+    """What is known of groups, once for every part."""
+    return known.join(parts, "g").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+
+
+def _middle(v: DataFrame, parts: DataFrame) -> DataFrame:
     """The first start: medians, and median absolute deviations as a diagonal covariance; n counts the whole group."""
     names = list(FEATURES)
     mid = stage(v.groupBy("g").agg(F.count(F.lit(1)).alias("n"), *[F.percentile(f, F.lit(0.5)).alias(f"m_{f}") for f in names]), "mcd-medians")
-    spread = v.join(mid.drop("n"), "g").groupBy("g").agg(*[F.percentile(F.abs(F.col(f) - F.col(f"m_{f}")), F.lit(0.5)).alias(f"d_{f}") for f in names])
+    spread = v.join(_to_parts(mid.drop("n"), parts), ["g", "part"]).groupBy("g").agg(*[F.percentile(F.abs(F.col(f) - F.col(f"m_{f}")), F.lit(0.5)).alias(f"d_{f}") for f in names])
     diag = []
     for i, a in enumerate(names):
         for j in range(i, len(names)):
@@ -198,12 +206,13 @@ def _middle(v: DataFrame) -> DataFrame:
     return mid.join(spread, "g").select("g", F.lit(0).alias("start"), "n", F.array(*[F.col(f"m_{f}") / GRID for f in names]).alias("mean"), F.array(*diag).alias("inv"))
 
 
-def _concentrated(v: DataFrame, est: DataFrame, step: str) -> DataFrame:
+def _concentrated(v: DataFrame, parts: DataFrame, est: DataFrame, step: str) -> DataFrame:
     """One concentration step of every group and start."""
-    d = v.join(est.select("g", "start", "mean", "inv"), "g").withColumn("q", F.round(F.log(_distance() + 0.01) * 64).cast("long")).drop("mean", "inv")
+    far = lambda e: v.join(_to_parts(e, parts), ["g", "part"]).withColumn("q", F.round(F.log(_distance() + 0.01) * 64).cast("long")).drop("mean", "inv")
+    est = est.select("g", "start", "mean", "inv")
     # the share is of the group's documents: ties at the quantile all stay
-    most = stage(d.groupBy("g", "start").agg(F.percentile("q", F.lit(KEEP)).alias("most")), f"mcd-cut-{step}")
-    return stage(_moments(d.join(most, ["g", "start"]).where("q <= most"), consistency(KEEP, _D)), f"mcd-{step}")
+    most = stage(far(est).groupBy("g", "start").agg(F.percentile("q", F.lit(KEEP)).alias("most")), f"mcd-cut-{step}")
+    return stage(_moments(far(est.join(most, ["g", "start"])).where("q <= most"), consistency(KEEP, _D)), f"mcd-{step}")
 
 
 def _key(*columns: str) -> Column:
@@ -216,17 +225,19 @@ def estimates(v: DataFrame) -> DataFrame:
     """g, n, mean, cov, logdet of every group of all three levels. ``v``: lang, source and the statistics."""
     names = list(FEATURES)
     v = v.select(F.explode(F.array(_key("lang", "source"), _key("lang"), _key())).alias("g"), F.xxhash64("doc_id", *names).alias("id"), *names)
-    first = stage(_middle(v), "mcd-0")
+    parts = stage(v.groupBy("g").agg((F.floor(F.count(F.lit(1)) / PART) + 1).cast("int").alias("parts")), "mcd-parts")
+    v = stage(v.join(parts, "g").withColumn("part", F.pmod("id", F.col("parts")).cast("int")).drop("parts"), "mcd-rows")
+    first = stage(_middle(v, parts), "mcd-0")
     # subsets by a hash of the document: about SUBSET documents of each group, others for each start
-    some = v.join(first.select("g", F.greatest(F.lit(1), F.floor(F.col("n") / SUBSET)).alias("one_in")), "g").withColumn("start", F.explode(F.array(*[F.lit(i) for i in range(1, STARTS)])))
+    some = v.join(_to_parts(first.select("g", F.greatest(F.lit(1), F.floor(F.col("n") / SUBSET)).alias("one_in")), parts), ["g", "part"]).withColumn("start", F.explode(F.array(*[F.lit(i) for i in range(1, STARTS)])))
     seeds = _moments(some.where(F.pmod(F.xxhash64("start", "id"), F.col("one_in")) == 0), 1.0)
     est = stage(first.select("g", "start", "mean", "inv").unionByName(seeds.select("g", "start", "mean", "inv")), "mcd-starts")
     for step in range(SHORT):
-        est = _concentrated(v, est, f"short{step}")
+        est = _concentrated(v, parts, est, f"short{step}")
     # the least determinant, then the first start
     est = est.groupBy("g").agg(F.min(F.struct("logdet", "start", "mean", "inv")).alias("b")).select("g", "b.*")
     for step in range(LONG):
-        est = _concentrated(v, est, f"long{step}")
+        est = _concentrated(v, parts, est, f"long{step}")
     return est.drop("n", "inv").join(first.select("g", "n"), "g").select("g", "n", "mean", "cov", "logdet")
 
 

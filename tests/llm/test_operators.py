@@ -170,8 +170,9 @@ def test_rules_reject_outliers_and_keep_the_rest(spark):
     assert all(kept[i] for i in range(200)) and not any(kept[1000 + i] for i in range(4))
 
 
-def test_least_determinant(spark):
+def test_least_determinant(spark, monkeypatch):
     """The estimates against a plain search from many starts, with a quarter of outliers in a heap; one formula at every size."""
+    monkeypatch.setattr(rules, "PART", 50)
     rng, names = np.random.default_rng(5), list(rules.FEATURES)
     good = rng.normal(size=(300, 6)) * [3, 2, 1, 1, 2, 1]
     v = np.round(np.vstack([good, rng.normal(size=(70, 6)) * 0.3 + 25])).astype(int) * rules.GRID // 4
