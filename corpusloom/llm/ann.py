@@ -7,8 +7,9 @@ leaves until they hold its budget of entries. Leaves and the queries that visit
 a leaf's or a query list's surplus over ``CHUNK`` is dealt into chunks, so no task holds more. Each meeting emits a few
 best per query; those are ranked exactly, in double precision on the original vectors.
 
-One formula sets the work at every size: trees are as deep as leaves of ``LEAF`` vectors need (``DEEPEST`` at most, as planes
-are sent to every task), and a query's leaves hold ``BUDGET * n ** POWER`` entries, which grows slower than the table.
+One formula sets the work at every size: a query's leaves hold ``BUDGET * n ** POWER`` entries, which grows slower than the
+table, and trees are so deep (``DEEPEST`` at most, as planes are sent to every task) that these are about ``VISITS`` leaves,
+so what a query emits does not grow with the table.
 
 Equal vectors are indexed once, with the few smallest ids of each (found in salted steps, so a vector that a third of
 all rows share is split), since only those can be among the nearest. The budget is large because vectors without clusters
@@ -31,8 +32,8 @@ from pyspark.sql import functions as F
 
 from corpusloom.llm.shared import stage
 
-SAMPLE, TREES, LEAF, DEEPEST = 20_000, 16, 200, 10
-BUDGET, POWER, CHUNK, SALTS = 12.0, 0.72, 20_000, 32
+SAMPLE, TREES, VISITS, DEEPEST = 20_000, 16, 48, 10
+BUDGET, POWER, CHUNK, SALTS = 13.0, 0.72, 20_000, 32
 
 
 class Forest:
@@ -163,7 +164,7 @@ def nearest(vectors: DataFrame, k: int = 5, modulus: int = 50, budget: float = B
         return spark.createDataFrame([], empty)
     sample = distinct.where(F.pmod(F.xxhash64("rep"), F.lit(max(1, n // SAMPLE))) == 0).select("rep", "v").toPandas() if n > SAMPLE else distinct.select("rep", "v").toPandas()
     sample = sample.sort_values("rep")
-    depth = min(DEEPEST, max(1, round(np.log2(n / LEAF))))
+    depth = min(DEEPEST, max(1, round(np.log2(n * VISITS / (budget * n**power)))))
     forest = Forest(_unit(sample["v"]) if len(sample) else np.zeros((0, 1), dtype=np.float32), depth)
     dim = forest.planes.shape[2]
     posted = distinct.select("rep", "v").mapInPandas(_poster(forest), "tree int, leaf int, rep long, raw binary")
