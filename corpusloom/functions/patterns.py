@@ -58,3 +58,5 @@ DEAD_TTL, HOLD_S, ARCHIVE_HOLD, HOLD_MOST, EXCERPT, MIN_GOOD, PRUNE_TRIES, RING
 LOCATION = r"(?s)<loc>\s*(?:<!\[CDATA\[)?(.*?)(?:\]\]>)?\s*</loc>"
 BARE_URL = r"https?://[^\s<>\"')\]]+"
 SITEMAP_FILE = r"(?i)sitemap|\.xml(\.gz)?$"
+#: Windows of an excerpt at most, characters on each side of a match, characters of any answer at most.
+WINDOWS, AROUND, FULL = 6, 300, 200_000

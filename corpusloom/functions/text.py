@@ -67,10 +67,37 @@ def not_content(text: Column) -> Column:
     return F.when(F.substring(text, 1, 6000).rlike(P.CHROME), "chrome").when(damaged, "letters missing").otherwise("")
 
 
-def excerpt(text: Column) -> Column:
-    """Short texts whole, long ones to the limit with a footer."""
-    cut = F.concat(F.substring(text, 1, P.EXCERPT), F.lit(f"\n\n[excerpt: {P.EXCERPT} of "), F.length(text).cast("string"), F.lit(" chars; pass full=true for all]"))
-    return F.when(F.length(text) <= P.EXCERPT, text).otherwise(cut)
+def _windows(text: Column, want: str) -> Column:
+    """The surroundings of the first matches behind the limit, in order."""
+    rest, rx = F.substring(text, P.EXCERPT + 1, 2**31 - 1), f"(?i){want}"
+    lengths = lambda a: F.slice(F.transform(a, F.length), 1, P.WINDOWS)
+    held = F.struct(lengths(F.split(rest, rx)).alias("gap"), lengths(F.regexp_extract_all(rest, F.lit(rx), F.lit(0))).alias("len"), text.alias("text"))
+
+    def one(h: Column, k: Column) -> Column:
+        sum_ = lambda a: F.aggregate(a, F.lit(0), lambda x, y: x + y)
+        at = F.lit(P.EXCERPT) + sum_(F.slice(h["gap"], 1, k)) + sum_(F.slice(h["len"], 1, k - 1))
+        return F.concat(F.lit("… "), F.regexp_replace(F.substring(h["text"], at - P.AROUND + 1, F.lit(2 * P.AROUND)), r"^\s+|\s+$", ""), F.lit(" …"))
+
+    # a lambda's variable is computed once, whatever is made of it
+    made = lambda h: F.when(F.size(h["len"]) > 0, F.transform(F.sequence(F.lit(1), F.size(h["len"])), lambda k: one(h, k)))
+    return F.get(F.transform(F.array(held), made), F.lit(0))
+
+
+def excerpt(text: Column, want: str = "", full: bool = False) -> Column:
+    """Short texts whole; long ones to the limit, then windows around the first matches of ``want`` behind it, and a footer. With
+    ``full`` the text up to the limit of all answers."""
+    whole = F.substring(text, 1, P.FULL)
+    if full:
+        return whole
+    found = F.lit("")
+    if want:
+        try:
+            re.compile(want)
+            found = F.coalesce(F.concat(F.lit("\n\n"), F.array_join(_windows(text, want), "\n")), F.lit(""))
+        except re.error:
+            pass
+    cut = F.concat(F.substring(text, 1, P.EXCERPT), found, F.lit(f"\n\n[excerpt: {P.EXCERPT} of "), F.length(text).cast("string"), F.lit(" chars; pass full=true for all]"))
+    return F.when(F.length(text) <= P.EXCERPT, whole).otherwise(cut)
 
 
 def clean(value: Column) -> Column:

@@ -51,6 +51,26 @@ def text_page(spark, d) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", F.substring(F.split_part("text", F.lit("\n"), F.lit(1)), 1, 80).alias("title"), "text")
 
 
+def child_link(spark, d) -> DataFrame:
+    """Links in which every other one hangs under its page's own path."""
+    own = F.concat(F.lit("https://"), U.host(F.col("base")), F.rtrim(U.path(F.col("base")), F.lit("/")), U.path(F.col("url")))
+    return link(spark, d).withColumn("url", F.when(F.col("pos") % 2 == 0, own).otherwise(F.col("url")))
+
+
+def host_link(spark, d) -> DataFrame:
+    """page_id, host, linked: another host that each page links to; some carry its owner's name."""
+    p = table(spark, d, "pages").select("page_id", U.host(F.col("url")).alias("host")).withColumn("bare", F.regexp_replace("host", r"^www\.", ""))
+    name = F.replace(F.split_part("bare", F.lit("."), F.lit(1)), F.lit("-"), F.lit(""))
+    linked = F.when(F.col("page_id") % 3 == 0, F.concat(F.lit("shop."), "bare")).when(F.col("page_id") % 3 == 1, F.concat(name, F.lit("-docs.example"))).otherwise("cdn.example")
+    return p.select("page_id", "host", linked.alias("linked"))
+
+
+def blocked_text(spark, d) -> DataFrame:
+    """doc_id, text: documents of which one in ten opens like a block page, and one in ten like half of one."""
+    lead = F.when(F.col("doc_id") % 10 == 0, "Access denied. Your IP address is 10.0.0.1. ").when(F.col("doc_id") % 10 == 1, "Access denied. ").otherwise("")
+    return table(spark, d, "documents").select("doc_id", F.concat(lead, "text").alias("text"))
+
+
 def attempt(spark, d, source: DataFrame | None = None) -> DataFrame:
     """A log of reads: req_id, secs (since the epoch), host, reader, outcome, k. ``source``: the events, if not from the table."""
     e = table(spark, d, "events") if source is None else source
@@ -165,6 +185,10 @@ SQL = {
     "section_src": """section_src AS (SELECT doc_id, (line_no - 1)::BIGINT AS line_no, line, regexp_extract(line, '^([A-Za-z]{1,4})(?:[^A-Za-z]|$)', 1) AS head FROM (
       SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) AS line_no FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents)))""",
 }
+SQL["child_link"] = SQL["link"].replace("link AS (SELECT page_id, base, (pos - 1)::BIGINT AS pos, ", "link AS (SELECT page_id, base, (pos - 1)::BIGINT AS pos, CASE WHEN (pos - 1) % 2 = 0 THEN 'https://' || " + sql_host("base") + " || rtrim(" + sql_path("base") + ", '/') || " + sql_path("('https://' || " + sql_host("base") + " || split_part(href, '#', 1))") + " ELSE ").replace("split_part(href, '#', 1) AS url", "split_part(href, '#', 1) END AS url")
+SQL["host_link"] = f"""host_link AS (SELECT page_id, host, CASE page_id % 3 WHEN 0 THEN 'shop.' || bare WHEN 1 THEN replace(split_part(bare, '.', 1), '-', '') || '-docs.example' ELSE 'cdn.example' END AS linked
+      FROM (SELECT page_id, {sql_host('url')} AS host, regexp_replace({sql_host('url')}, '^www\\.', '') AS bare FROM pages))"""
+SQL["blocked_text"] = "blocked_text AS (SELECT doc_id, CASE doc_id % 10 WHEN 0 THEN 'Access denied. Your IP address is 10.0.0.1. ' WHEN 1 THEN 'Access denied. ' ELSE '' END || text AS text FROM documents)"
 SQL["site_link"] = SQL["site"] + f", link AS (SELECT min(pos) OVER (PARTITION BY {sql_host('url')}) AS page_id, 'https://' || {sql_host('url')} || '/' AS base, pos, url FROM site)"
 SQL["mirror"] = SQL["site"] + ", mirror AS (SELECT pos, url, 1704067200 + pos * 3600 AS fetched FROM site WHERE pos % 3 = 0)"
 

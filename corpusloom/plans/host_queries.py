@@ -117,12 +117,19 @@ def held_hosts(spark, d):
 
 @query(A + ", i AS (SELECT req_id, host, secs, row_number() OVER (PARTITION BY host ORDER BY secs, req_id) AS i FROM attempt) SELECT req_id, host, i * 30 + max(secs - i * 30) OVER (PARTITION BY host ORDER BY i ROWS UNBOUNDED PRECEDING) AS start FROM i")
 def polite_schedule(spark, d):
-    """When each read may start, 30 s apart on a host: start = max(arrival, previous start + gap), in closed form."""
-    w = Window.partitionBy("host").orderBy("secs", "req_id")
-    i = F.row_number().over(w).cast("long")
-    s = D.attempt(spark, d).withColumn("i", i)
-    running = F.max(F.col("secs") - F.col("i") * 30).over(Window.partitionBy("host").orderBy("i").rowsBetween(Window.unboundedPreceding, 0))
-    return s.select("req_id", "host", (F.col("i") * 30 + running).alias("start"))
+    """When each read may start, 30 s apart on a host: start = max(arrival, previous start + gap), in closed form: with i the
+    read's number, 30 i + the largest (arrival - 30 j) of the reads j up to it. Reads are numbered by host and day, and days
+    hand on their count and their largest value, so a host with most of the log is not sorted in one task."""
+    a = D.attempt(spark, d).select("req_id", "host", "secs", F.floor(F.col("secs") / 86400).alias("day"))
+    inside = Window.partitionBy("host", "day").orderBy("secs", "req_id")
+    a = a.withColumn("i", F.row_number().over(inside).cast("long")).withColumn("slack", F.col("secs") - F.col("i") * 30)
+    a = a.withColumn("own", F.max("slack").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
+    days = a.groupBy("host", "day").agg(F.count(F.lit(1)).alias("n"), F.max("slack").alias("most"))
+    before = Window.partitionBy("host").orderBy("day").rowsBetween(Window.unboundedPreceding, -1)
+    days = days.withColumn("earlier", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    days = days.withColumn("handed", F.max(F.col("most") - F.col("earlier") * 30).over(before)).drop("n", "most")
+    j = a.join(days, ["host", "day"])
+    return j.select("req_id", "host", ((F.col("i") + F.col("earlier")) * 30 + F.greatest("handed", F.col("own") - F.col("earlier") * 30)).alias("start"))
 
 
 _BAD = "outcome <> 'ok'"

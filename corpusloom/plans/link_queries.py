@@ -37,11 +37,14 @@ def families_minus_nav(spark, d):
     return g.join(nav, "family", "left_anti").select("page_id", "family")
 
 
-@query(D.with_("link") + f"SELECT page_id FROM link WHERE {D.sql_host('url')} = {D.sql_host('base')} AND starts_with({D.sql_path('url')}, regexp_extract({D.sql_path('base')}, '^(/[^/]*)', 1)) GROUP BY 1 HAVING count(DISTINCT url) >= 3")
+_UNDER = f"rtrim({D.sql_path('base')}, '/') || '/'"
+
+
+@query(D.with_("child_link") + f"SELECT page_id FROM link WHERE {D.sql_host('url')} = {D.sql_host('base')} AND starts_with({D.sql_path('url')}, {_UNDER}) AND rtrim({D.sql_path('url')}, '/') || '/' <> {_UNDER} GROUP BY 1 HAVING count(DISTINCT url) >= 3")
 def hub_pages(spark, d):
-    """Pages with three or more links under their own section."""
-    own = F.regexp_extract(U.path(F.col("base")), "^(/[^/]*)", 1)
-    l = D.link(spark, d).where((U.host(F.col("url")) == U.host(F.col("base"))) & F.startswith(U.path(F.col("url")), own))
+    """Pages with three or more children under their own path: hubs of a family, not items."""
+    closed = lambda c: F.concat(F.rtrim(U.path(F.col(c)), F.lit("/")), F.lit("/"))
+    l = D.child_link(spark, d).where((U.host(F.col("url")) == U.host(F.col("base"))) & F.startswith(U.path(F.col("url")), closed("base")) & (closed("url") != closed("base")))
     return l.groupBy("page_id").agg(F.count_distinct("url").alias("n")).where("n >= 3").select("page_id")
 
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from corpusloom.operators import sections as S
@@ -59,7 +58,8 @@ def running_heads(spark, d):
 @query("WITH k AS (SELECT s_suppkey, 'ch ' || s_suppkey || '.' || (s_nationkey % 7) AS name, s_suppkey AS a, s_nationkey % 7 AS b FROM supplier) SELECT name, row_number() OVER (ORDER BY a, b)::INTEGER AS rank FROM k")
 def natural_sort(spark, d):
     s = D.table(spark, d, "supplier").select(F.concat(F.lit("ch "), F.col("s_suppkey").cast("string"), F.lit("."), (F.col("s_nationkey") % 7).cast("string")).alias("name"))
-    return s.select("name", F.row_number().over(Window.orderBy(S.natural_key(F.col("name")))).alias("rank"))
+    D.checkpoints(spark)
+    return S.ranked(s.withColumn("key", S.natural_key(F.col("name"))), "key").select("name", "rank")
 
 
 @query("SELECT p_partkey, 'Code § ' || p_size || '-' || p_partkey || ' (' || p_brand || ')' AS citation FROM part")

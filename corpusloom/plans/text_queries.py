@@ -23,9 +23,9 @@ def judge_docs(spark, d):
     return D.text_page(spark, d).select("doc_id", X.judge(F.col("title"), F.col("text"), F.lit(False), "the|les").alias("outcome"))
 
 
-@query(f"SELECT doc_id FROM documents WHERE {_BLOCKED.format('text')}")
+@query(D.with_("blocked_text") + f"SELECT doc_id FROM blocked_text WHERE {_BLOCKED.format('text')}")
 def blocked_pages(spark, d):
-    return D.table(spark, d, "documents").where(X.blocked(F.col("text"))).select("doc_id")
+    return D.blocked_text(spark, d).where(X.blocked(F.col("text"))).select("doc_id")
 
 
 @query("SELECT doc_id FROM documents WHERE regexp_matches(text, '(?i)licen[sc]e|copyright')")
@@ -60,6 +60,23 @@ def excerpt(spark, d):
     return D.table(spark, d, "documents").select("doc_id", X.excerpt(F.col("text")).alias("excerpt"))
 
 
+_WANT = "(?i)tion|keit"
+
+
+@query(f"""WITH r AS (SELECT doc_id, text, substr(text, 6001) AS rest FROM documents WHERE length(text) > 6000),
+m AS (SELECT doc_id, text, list_transform(string_split_regex(rest, '{_WANT}'), lambda x: length(x)) AS gap, list_transform(regexp_extract_all(rest, '{_WANT}'), lambda x: length(x)) AS len FROM r),
+w AS (SELECT doc_id, list_transform(range(1, least(6, len(len)) + 1), lambda k: '… ' || regexp_replace(substr(text, (5701 + list_sum(gap[1:k]) + coalesce(list_sum(len[1:k-1]), 0))::BIGINT, 600), '^\\s+|\\s+$', '', 'g') || ' …') AS wins FROM m)
+SELECT d.doc_id, CASE WHEN length(text) <= 6000 THEN text ELSE left(text, 6000) || CASE WHEN len(wins) > 0 THEN chr(10) || chr(10) || array_to_string(wins, chr(10)) ELSE '' END || chr(10) || chr(10) || '[excerpt: 6000 of ' || length(text) || ' chars; pass full=true for all]' END AS excerpt
+FROM documents d LEFT JOIN w ON d.doc_id = w.doc_id""")
+def excerpt_want(spark, d):
+    return D.table(spark, d, "documents").select("doc_id", X.excerpt(F.col("text"), "tion|keit").alias("excerpt"))
+
+
+@query("SELECT doc_id, left(text, 200000) AS excerpt FROM documents")
+def excerpt_full(spark, d):
+    return D.table(spark, d, "documents").select("doc_id", X.excerpt(F.col("text"), full=True).alias("excerpt"))
+
+
 @query("SELECT doc_id, left(trim(regexp_replace(regexp_replace(text, '[*_`|]+', ' ', 'g'), '\\s+', ' ', 'g')), 200) AS value FROM documents")
 def clean_value(spark, d):
     return D.table(spark, d, "documents").select("doc_id", X.clean(F.col("text")).alias("value"))

@@ -194,14 +194,48 @@ def links_in_family(spark, d):
     return D.link(spark, d).where(F.col("url").rlike(U.family_regex("/<n>"))).select("page_id", "url").distinct()
 
 
-_OWN = f"""SELECT DISTINCT l.page_id, {D.sql_host('l.url')} AS host FROM link l"""
-
-
-@query(D.with_("site") + f", h AS (SELECT DISTINCT {D.sql_host('url')} AS host FROM site) SELECT a.host, b.host AS own FROM h a JOIN h b ON a.host <> b.host AND length(replace(split_part(regexp_replace(a.host, '^www\\.', ''), '.', 1), '-', '')) >= 3 AND regexp_replace(a.host, '^[^.]*\\.', '') = regexp_replace(b.host, '^[^.]*\\.', '') AND contains(b.host, replace(split_part(regexp_replace(a.host, '^www\\.', ''), '.', 1), '-', ''))")
+@query(D.with_("host_link") + """, n AS (SELECT host, linked, replace(split_part(regexp_replace(host, '^www\\.', ''), '.', 1), '-', '') AS name FROM host_link)
+SELECT DISTINCT host, linked AS own FROM n WHERE length(name) >= 3 AND linked <> host AND contains(linked, name)""")
 def own_hosts(spark, d):
-    """Other hosts of the same domain whose name holds the first label of a host."""
-    h = D.site(spark, d).select(U.host(F.col("url")).alias("host")).distinct().withColumn("domain", F.regexp_replace("host", r"^[^.]*\.", ""))
-    label = F.replace(F.split_part(F.regexp_replace("host", r"^www\.", ""), F.lit("."), F.lit(1)), F.lit("-"), F.lit(""))
-    other = h.select(F.col("host").alias("own"), "domain")
-    j = h.withColumn("label", label).where(F.length("label") >= 3).join(other, "domain")
-    return j.where((F.col("host") != F.col("own")) & F.contains("own", F.col("label"))).select("host", "own")
+    """Hosts that a site links to and whose name holds its own first label: shops, manuals and the like of one owner."""
+    name = F.replace(F.split_part(F.regexp_replace("host", r"^www\.", ""), F.lit("."), F.lit(1)), F.lit("-"), F.lit(""))
+    l = D.host_link(spark, d).withColumn("name", name).where((F.length("name") >= 3) & (F.col("linked") != F.col("host")))
+    return l.where(F.contains("linked", F.col("name"))).select("host", F.col("linked").alias("own")).distinct()
+
+
+def find_listings(hosts, learned, shaped, guessed, listings, first: int = 3, most: int = 8):
+    """host, url, source: where each host keeps its index of things. The learned route if there is one; else the first of its
+    listing-shaped urls (the ``first`` shallowest and shortest are looked at) that is a listing; else the first of the
+    ``most`` best guessed paths that is; else none. ``learned``: host, url; ``shaped``: host, url; ``guessed``: path, score;
+    ``listings``: url of the pages that are listings. One row a host; the guesses are a bounded list."""
+    by_shape = Window.partitionBy("host").orderBy(F.size(F.split("url", "/")), F.length("url"), "url")
+    shaped = shaped.distinct().withColumn("rank", F.row_number().over(by_shape).cast("long")).where(F.col("rank") <= first)
+    best = guessed.orderBy(F.desc("score"), "path").limit(most).withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "path")).cast("long"))
+    tried = hosts.crossJoin(F.broadcast(best)).select("host", F.concat(F.lit("https://"), "host", "path").alias("url"), "rank")
+    row = lambda df, step, source: df.select("host", "url", F.lit(step).alias("step"), "rank" if "rank" in df.columns else F.lit(0).cast("long").alias("rank"), F.lit(source).alias("source"))
+    found = row(shaped, 1, "sitemap").unionByName(row(tried, 2, "moves")).join(listings.select("url").distinct(), "url", "left_semi")
+    found = found.unionByName(row(learned, 0, "learned"))
+    won = found.groupBy("host").agg(F.min_by(F.struct("url", "source"), F.struct("step", "rank", "url")).alias("w"))
+    return hosts.join(won, "host", "left").select("host", "w.url", F.coalesce("w.source", F.lit("none")).alias("source"))
+
+
+_SHAPED = "(?i)/(en|de)/[0-9]*[02468]([/?]|$)"
+
+
+@query(D.with_("site", "link") + f""", s AS (SELECT pos, url, {D.sql_host('url')} AS host FROM site), h AS (SELECT host, min(pos) AS least FROM s GROUP BY 1),
+k AS (SELECT page_id FROM link GROUP BY 1 HAVING count(DISTINCT {D.sql_path('url')}) >= 5), ls AS (SELECT DISTINCT url FROM s JOIN k ON k.page_id = s.pos),
+sh AS (SELECT host, url, row_number() OVER (PARTITION BY host ORDER BY len(string_split(url, '/')), length(url), url) AS rank FROM (SELECT DISTINCT host, url FROM s WHERE regexp_matches(url, {q(_SHAPED)}))),
+g AS (SELECT path, row_number() OVER (ORDER BY score DESC, path) AS rank FROM (SELECT {D.sql_path('url')} AS path, count(*) + 1.0 / min(pos + 1) AS score FROM s GROUP BY 1) ORDER BY score DESC, path LIMIT 8),
+f AS (SELECT host, url, 0 AS step, 0 AS rank, 'learned' AS source FROM s WHERE pos IN (SELECT least FROM h WHERE least % 5 = 0)
+ UNION ALL SELECT host, url, 1, rank, 'sitemap' FROM sh WHERE rank <= 3 AND url IN (SELECT url FROM ls)
+ UNION ALL SELECT host, 'https://' || host || path, 2, rank, 'moves' FROM h, g WHERE 'https://' || host || path IN (SELECT url FROM ls)),
+w AS (SELECT *, row_number() OVER (PARTITION BY host ORDER BY step, rank, url) AS rn FROM f)
+SELECT h.host, w.url, coalesce(w.source, 'none') AS source FROM h LEFT JOIN w ON h.host = w.host AND w.rn = 1""")
+def listing_find(spark, d):
+    """The listing of each captured host."""
+    s = D.site(spark, d).withColumn("host", U.host(F.col("url")))
+    h = s.groupBy("host").agg(F.min_by("url", "pos").alias("url"), F.min("pos").alias("least"))
+    is_index = D.link(spark, d).groupBy("page_id").agg(F.count_distinct(U.path(F.col("url"))).alias("n")).where("n >= 5")
+    guessed = s.groupBy(U.path(F.col("url")).alias("path")).agg((F.count(F.lit(1)) + 1.0 / F.min(F.col("pos") + 1)).alias("score"))
+    listings = s.join(is_index, F.col("pos") == F.col("page_id"), "left_semi")
+    return find_listings(h.select("host"), h.where("least % 5 = 0").select("host", "url"), s.where(F.col("url").rlike(_SHAPED)).select("host", "url"), guessed, listings)

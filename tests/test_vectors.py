@@ -158,6 +158,26 @@ def test_sections(spark):
     assert {(r["k"], r["seq"]) for r in sections.in_force(v, ["k"], F.lit("1998-01-01").cast("date")).collect()} == {(1, 1), (2, 1)}
 
 
+def test_statute_policies(spark):
+    """What each state's policy makes of repeated, dated and joint ids; repeated lines stay but for running heads."""
+    from corpusloom.sources import statutes
+
+    def run(state, text, **k):
+        d = spark.createDataFrame([(1, "u", "T", "Art.", text)], "doc_id long, url string, title string, kind string, text string")
+        return {(r["citation"], r["text"]) for r in statutes.sections(d, state, **k).collect()}
+
+    two = "§ 5. One (Effective until July 1, 2030)\nold\n§ 5. One (Effective July 1, 2030)\nnew\n§ 6. Two\n(a) Reserved.\n(a) Reserved.\n(a) Reserved."
+    six = ("Va. Code § 6", "§ 6. Two\n(a) Reserved.\n(a) Reserved.\n(a) Reserved.")
+    assert run("va", two, today="2026-01-01") == {("Va. Code § 5", "§ 5. One (Effective until July 1, 2030)\nold"), six}
+    assert run("va", two, today="2031-01-01") == {("Va. Code § 5", "§ 5. One (Effective July 1, 2030)\nnew"), six}
+    assert run("me", "§3. A (REPEALED)\nx\n§3. A\ny") == {("T M.R.S. § 3", "§3. A\ny")}
+    assert run("nj", "1:2-3 A\nx\n1:2-3 A\ny\n1:2-4 B\n1:2-3 C") == {("N.J. Stat. § 1:2-3", "1:2-3 A\nx\n1:2-3 A\ny"), ("N.J. Stat. § 1:2-4", "1:2-4 B"), ("N.J. Stat. § 1:2-3", "1:2-3 C")}
+    assert run("mi", "2.104, 2.105 Repealed. 1990") == {("MCL 2.104", "2.104, 2.105 Repealed. 1990"), ("MCL 2.105", "2.104, 2.105 Repealed. 1990")}
+    assert run("tx", "Sec. 1.01. A\nx\nSec. 1.01. A\ny") == {("Tex. T § 1.01", "Sec. 1.01. A\nx\n\nSec. 1.01. A\ny")}
+    assert run("ne", "1-101 A\nx\n1-101 A\ny") == {("Neb. Rev. Stat. § 1-101", "1-101 A\nx")}
+    assert run("pr", "LEY\nArtículo 1. A\nLEY\na longer text\nArtículo 1. Short") == {("Ley T, Art. 1", "Artículo 1. A\na longer text")}
+
+
 def test_archives(spark):
     raw = io.BytesIO()
     with zipfile.ZipFile(raw, "w") as z:
