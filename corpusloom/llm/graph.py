@@ -17,7 +17,8 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """node, label for every node of the edges (a, b: long): label is the smallest node of its component.
 
     Each round sends a node's larger neighbours to its smallest one and then its smaller ones; both are a minimum by key
-    (combined before the shuffle) and a join, so a node with very many neighbours is split like any skewed key.
+    (combined before the shuffle) and a join, so a node with very many neighbours is split like any skewed key. Rounds grow
+    with the logarithm of the nodes; if ``rounds`` are not enough that is an error, never an unfinished answer.
     """
     now = stage(edges.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     seen = _checksum(now)
@@ -37,5 +38,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         if new == seen:
             break
         seen = new
+    else:
+        raise RuntimeError(f"components are still changing after {rounds} rounds")
     stars = now.groupBy("a").agg(F.min("b").alias("label")).select(F.col("a").alias("node"), "label")
     return stars.union(now.select(F.col("b").alias("node"), F.col("b").alias("label")).distinct())
