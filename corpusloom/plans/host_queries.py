@@ -274,7 +274,17 @@ def ab_exact(spark, d):
     return p.select("p_partkey", ((F.size(fields(truth)) > 0) & (F.size(F.array_except(fields(truth), fields(answer))) == 0)).alias("exact"))
 
 
-@query()
+_KIND = "CASE k % 3 WHEN 0 THEN {0} WHEN 1 THEN {1} ELSE {2} END"
+_HOLDS = f"""WITH RECURSIVE {D.SQL['attempt']},
+e AS (SELECT host, secs, greatest(floor(value)::DOUBLE, {_KIND.format(float(P.HOLD_S), 120.0, float(P.ARCHIVE_HOLD))}::DOUBLE) AS need, {_KIND.format(5.0, 2.0, 5.0)}::DOUBLE AS slow,
+  row_number() OVER (PARTITION BY host ORDER BY secs, req_id) AS n FROM attempt WHERE outcome = 'refused'),
+f AS (SELECT host, n, secs AS since, floor(secs + least(need, {float(P.HOLD_MOST)}::DOUBLE))::BIGINT AS until, greatest(2.0::DOUBLE, slow) AS pace FROM e WHERE n = 1
+ UNION ALL SELECT e.host, e.n, e.secs, floor(e.secs + least(greatest(need, 2.0::DOUBLE * (f.until - f.since)), {float(P.HOLD_MOST)}::DOUBLE))::BIGINT, least(greatest(2 * f.pace, slow), {float(P.HOLD_MOST)}::DOUBLE)
+ FROM f JOIN e ON e.host = f.host AND e.n = f.n + 1)
+SELECT host, max(n)::BIGINT AS n, arg_max(since, n)::BIGINT AS since, arg_max(until, n) AS until, arg_max(pace, n) AS pace FROM f GROUP BY 1"""
+
+
+@query(_HOLDS)
 def hold_backoff(spark, d):
     """Holds and pace of each host after its refusals in order: a fold with the previous hold as state."""
     from corpusloom.operators.holds import backoff, throttles
@@ -282,7 +292,7 @@ def hold_backoff(spark, d):
     return backoff(throttles(D.attempt(spark, d)))
 
 
-@query()
+@query(_HOLDS)
 def stream_hold_backoff(spark, d):
     """The same fold as a Structured Streaming query with keyed state, run over all available input."""
     from corpusloom.streaming.holds import run_available
