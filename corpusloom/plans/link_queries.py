@@ -15,13 +15,19 @@ from corpusloom.plans.url_queries import spread
 from corpusloom.sources import html as H
 
 q = D.quoted
-FAM = D.with_("site_link")[:-1] + f""", o AS (SELECT page_id, base, url, min(pos) AS pos FROM link WHERE {D.sql_bare('url')} = {D.sql_bare('base')} AND rtrim(url, '/') <> rtrim(split_part(base, '#', 1), '/') AND NOT regexp_matches(url, {q(P.ASSET)}) GROUP BY 1, 2, 3),
-s AS (SELECT *, {D.sql_pattern('url')} AS parent, {D.sql_family('url')} AS shape FROM o),
-c AS (SELECT page_id, parent, shape, count(*) AS n, min(pos) AS f FROM s GROUP BY 1, 2, 3),
-t AS (SELECT page_id, parent, first(shape ORDER BY n DESC, f) AS top, max(n) AS n, sum(n) AS total FROM c GROUP BY 1, 2),
-j AS (SELECT s.page_id, s.base, s.url, s.pos, s.parent, s.shape, t.top, contains(t.top, '<n>') AND t.n >= 0.8 * t.total AS num FROM s JOIN t USING (page_id, parent)),
-k AS (SELECT *, CASE WHEN num THEN top ELSE parent END AS family FROM j WHERE (num AND shape = top) OR (NOT num AND parent <> '/')),
-fam AS (SELECT * FROM (SELECT page_id, base, family, url, pos, count(*) OVER (PARTITION BY page_id, family) AS size FROM k) WHERE size >= 3) """
+def _families(src: str, out: str) -> str:
+    """The link families of the pages of ``src``, as a chain of tables that ends in ``out``."""
+    o, sh, c, t, j, k = (f"{out}_{x}" for x in "osctjk")
+    return f"""{o} AS (SELECT page_id, base, url, min(pos) AS pos FROM {src} WHERE {D.sql_bare('url')} = {D.sql_bare('base')} AND rtrim(url, '/') <> rtrim(split_part(base, '#', 1), '/') AND NOT regexp_matches(url, {q(P.ASSET)}) GROUP BY 1, 2, 3),
+{sh} AS (SELECT *, {D.sql_pattern('url')} AS parent, {D.sql_family('url')} AS shape FROM {o}),
+{c} AS (SELECT page_id, parent, shape, count(*) AS n, min(pos) AS f FROM {sh} GROUP BY 1, 2, 3),
+{t} AS (SELECT page_id, parent, first(shape ORDER BY n DESC, f) AS top, max(n) AS n, sum(n) AS total FROM {c} GROUP BY 1, 2),
+{j} AS (SELECT s.page_id, s.base, s.url, s.pos, s.parent, s.shape, t.top, contains(t.top, '<n>') AND t.n >= 0.8 * t.total AS num FROM {sh} s JOIN {t} t USING (page_id, parent)),
+{k} AS (SELECT *, CASE WHEN num THEN top ELSE parent END AS family FROM {j} WHERE (num AND shape = top) OR (NOT num AND parent <> '/')),
+{out} AS (SELECT * FROM (SELECT page_id, base, family, url, pos, count(*) OVER (PARTITION BY page_id, family) AS size FROM {k}) WHERE size >= 3) """
+
+
+FAM = D.with_("site_link")[:-1] + ", " + _families("link", "fam")
 
 
 @query(FAM + "SELECT page_id, family, count(*) AS links FROM fam GROUP BY 1, 2")
@@ -93,6 +99,48 @@ def family_yield(spark, d):
     return g.join(n, ["page_id", "family"]).select("page_id", "family", y.cast("long").alias("yield_milli"))
 
 
+def _sampled(src: str, n: int) -> str:
+    return f"SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY page_id, family ORDER BY pos) - 1 AS i FROM {src}) WHERE i IN ({', '.join(f'size * {k} // {n + 1}' for k in range(1, n + 1))})"
+
+
+@query(FAM + ", c" + D.SQL["child_link"] + ", " + _families("clink", "sub") + f""", a AS ({_sampled('fam', 5)}),
+b AS (SELECT a.*, s.pos AS page, length(a.url) % 3 <> 0 AS good, EXISTS (SELECT 1 FROM sub WHERE sub.page_id = s.pos) AS idx FROM a JOIN site s ON s.url = a.url),
+v AS (SELECT page_id, family, max(size) AS links, count(*) AS got, count(*) FILTER (good) AS good, count(*) FILTER (good AND idx) AS n_idx, count(*) FILTER (good AND NOT idx) AS n_page, min(pos) FILTER (good AND idx) AS f_idx, min(pos) FILTER (good AND NOT idx) AS f_page, arg_min(page, pos) FILTER (good AND idx) AS rep FROM b GROUP BY 1, 2),
+y AS (SELECT *, CASE WHEN n_idx > n_page OR (n_idx = n_page AND f_idx < f_page) THEN 'index' WHEN n_page > 0 THEN 'page' END AS leads_to, CASE WHEN good >= 2 THEN links * good // got ELSE 0 END AS y0 FROM v),
+z AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY y0 DESC, family) AS place FROM y),
+under AS (SELECT z.page_id, z.family AS above, sub.family, sub.url, sub.pos, sub.size FROM z JOIN sub ON sub.page_id = z.rep WHERE place <= 2 AND leads_to = 'index' AND y0 > 0 AND NOT EXISTS (SELECT 1 FROM fam WHERE fam.page_id = z.page_id AND fam.family = sub.family)),
+d AS (SELECT *, row_number() OVER (PARTITION BY page_id, above, family ORDER BY pos) - 1 AS i FROM under),
+w AS (SELECT page_id, above, family, max(size) * count(*) FILTER (length(url) % 3 <> 0) // count(*) AS y1, count(*) FILTER (length(url) % 3 <> 0) AS good FROM d WHERE i IN (size * 1 // 4, size * 2 // 4, size * 3 // 4) GROUP BY 1, 2, 3),
+x AS (SELECT page_id, above, first(family ORDER BY y1 DESC, family) AS below, max(y1) AS y1 FROM w WHERE good >= 1 GROUP BY 1, 2)
+SELECT z.page_id, z.family, z.leads_to, x.below, (y0 * coalesce(x.y1, 1))::BIGINT AS estimated FROM z LEFT JOIN x ON x.page_id = z.page_id AND x.above = z.family""")
+def family_walk(spark, d):
+    """Which of a site's link families lead to good pages, and to how many: spread samples, a majority vote on what they are (an
+    index of more links, or pages), and a look one level deeper under the two best index families, whose yields multiply.
+    What the upper page already shows is navigation below. (Good is a stand-in test on the url, as in ``family_yield``.)"""
+    good = F.length("url") % 3 != 0
+    top = L.link_families(D.site_link(spark, d))
+    sub = L.link_families(D.child_link(spark, d))
+    pages = D.site(spark, d).select(F.col("pos").alias("page"), "url").join(sub.select(F.col("page_id").alias("page"), F.lit(True).alias("idx")).distinct(), "page", "left")
+    keyed = lambda f, *by: f.withColumn("key", F.struct(*by)).withColumnRenamed("size", "links")
+    s = spread(keyed(top, "page_id", "family"), "key", "pos", 5).join(pages, "url").withColumns({"good": good, "idx": F.coalesce("idx", F.lit(False))})
+    index = F.col("good") & F.col("idx")
+    v = s.groupBy("page_id", "family").agg(
+        F.max("links").alias("links"), F.count(F.lit(1)).alias("got"), F.count_if("good").alias("good"), F.count_if(index).alias("n_index"), F.count_if(F.col("good") & ~F.col("idx")).alias("n_page"),
+        F.min(F.when(index, F.col("pos"))).alias("f_index"), F.min(F.when(F.col("good") & ~F.col("idx"), F.col("pos"))).alias("f_page"), F.min_by(F.when(index, F.col("page")), F.when(index, F.col("pos"))).alias("rep"),
+    )
+    kind = F.when((F.col("n_index") > F.col("n_page")) | ((F.col("n_index") == F.col("n_page")) & (F.col("f_index") < F.col("f_page"))), "index").when(F.col("n_page") > 0, "page")
+    y = v.withColumns({"leads_to": kind, "own": F.when(F.col("good") >= 2, F.floor(F.col("links") * F.col("good") / F.col("got"))).otherwise(F.lit(0))})
+    y = y.withColumn("place", F.row_number().over(Window.partitionBy("page_id").orderBy(F.desc("own"), "family")))
+    deeper = y.where("place <= 2 and leads_to = 'index' and own > 0").select(F.col("page_id").alias("root"), F.col("family").alias("above"), F.col("rep").alias("page_id"))
+    under = deeper.join(sub, "page_id").drop("page_id").join(top.select(F.col("page_id").alias("root"), "family").distinct(), ["root", "family"], "left_anti")
+    u = spread(keyed(under, "root", "above", "family"), "key", "pos", 3).groupBy("root", "above", "family").agg(F.max("links").alias("links"), F.count(F.lit(1)).alias("got"), F.count_if(good).alias("good"))
+    u = u.where("good >= 1").withColumn("more", F.floor(F.col("links") * F.col("good") / F.col("got")))
+    first = F.row_number().over(Window.partitionBy("root", "above").orderBy(F.desc("more"), "family"))
+    u = u.withColumn("r", first).where("r = 1").select(F.col("root").alias("page_id"), F.col("above").alias("family"), F.col("family").alias("below"), "more")
+    out = y.join(u, ["page_id", "family"], "left")
+    return out.select("page_id", "family", "leads_to", "below", (F.col("own") * F.coalesce("more", F.lit(1))).cast("long").alias("estimated"))
+
+
 @query(D.with_("link") + f""", e AS (SELECT DISTINCT {D.sql_host('base')} AS src, split_part({D.sql_path('url')}, '/', 2) AS dst FROM link),
 a AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e), l1 AS (SELECT DISTINCT dst AS node FROM a WHERE src = (SELECT min(src) FROM e)),
 l2 AS (SELECT DISTINCT a.dst AS node FROM a JOIN l1 ON a.src = l1.node), s AS (SELECT min(src) AS node FROM e)
