@@ -11,6 +11,9 @@ segment is a run of windows with the same anchor position, about 120 bytes; a do
    are halved again and again: the earlier half is put into a run-compressed Burrows-Wheeler index, the later half is
    streamed through it, and a window whose matching statistic reaches its length starts earlier. One index serves all
    anchors of a bucket: a tag inside the anchor's gram, so inside every window, keeps halves of other anchors apart.
+   Large halves come first and what is found leaves; bytes that all windows of a piece have in common (81 at least) must
+   be in both halves, else the piece is neither indexed nor streamed. So the work grows with what repeats, not with the
+   number of halvings. Hashes only leave out what cannot repeat; the index decides.
    The index holds runs and the text positions at their two ends, no suffix array and no ranks: a statistic is carried
    by LF steps, and where the run's symbol differs, by the nearer run end of the right symbol.
    An anchor with more than ``BUCKET_ROWS / 2`` different segments does not fit a task; its windows are hashed (128 bits) and
@@ -256,58 +259,120 @@ def _suffix_order(text: np.ndarray, left: np.ndarray) -> np.ndarray:
 TAG = 3
 
 
+#: Windows with so many neighbouring places of the anchor share a core, the bytes that are in all of them.
+CORE = 20
+
+
 class _Bucket:
-    """Segments in corpus order, with the place of the anchor in each."""
+    """Segments in corpus order, with the place of the anchor in each. A window goes by the place of its first byte."""
 
     def __init__(self, bodies: list[bytes], anchor: np.ndarray) -> None:
         self.data = np.frombuffer(b"".join(bodies), dtype=np.uint8)
         self.off = np.concatenate([[0], np.cumsum([len(b) for b in bodies], dtype=np.int64)])
-        total = _prefix(self.data)
+        self.total, self.inverse = _prefix(self.data), T._powers(T._INV, len(self.data) + 1)
         n = len(self.data) - GRAM + 1
         with np.errstate(over="ignore"):
-            gram = T.mix((total[GRAM:] - total[:-GRAM]) * T._powers(T._INV, len(self.data) + 1)[:n])
+            gram = T.mix((self.total[GRAM:] - self.total[:-GRAM]) * self.inverse[:n])
         row = np.repeat(np.arange(len(bodies)), np.diff(self.off))[:n]
         hit = np.flatnonzero((gram == anchor.view(np.uint64)[row]) & (np.arange(n) + GRAM <= self.off[row + 1]))
         which, first = np.unique(row[hit], return_index=True)
-        self.at = np.zeros(len(bodies), dtype=np.int64)
-        self.at[which] = hit[first] - self.off[which]
-
-    def tagged(self, rows: np.ndarray, tag: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Symbols of these segments, each with its tag behind its anchor's first byte and closed; and where each starts."""
-        size, at = self.off[rows + 1] - self.off[rows], self.at[rows]
+        self.at = self.off[:-1].copy()
+        self.at[which] = hit[first]
+
+    def pieces(self) -> tuple[np.ndarray, ...]:
+        """Segment, first window, last window and hash of the core of every piece, in order: a piece is the windows of a
+        segment that share a core. Equal windows are in pieces of equal cores."""
+        parts = []
+        for j in range(0, LENGTH - GRAM + 1, CORE):
+            most = min(j + CORE - 1, LENGTH - GRAM)  # the anchor is j to most bytes behind the first of the window
+            first, last = np.maximum(self.off[:-1], self.at - most), np.minimum(self.off[1:] - LENGTH, self.at - j)
+            row = np.flatnonzero(first <= last)
+            s, e = self.at[row] - j, self.at[row] - most + LENGTH
+            with np.errstate(over="ignore"):
+                core = T.mix((self.total[e] - self.total[s]) * self.inverse[s] + np.uint64(j))
+            parts.append((row, first[row], last[row], core))
+        row, first, last, core = (np.concatenate(x) for x in zip(*parts))
+        by = np.argsort(first)
+        return row[by], first[by], last[by], core[by]
+
+    def common(self, row: np.ndarray, first: np.ndarray, last: np.ndarray, pair: np.ndarray) -> np.ndarray:
+        """A hash of the pair and of the bytes that are in all windows of these pieces, where those of a pair are taken to
+        have the windows of all of them. Pieces that were cut alike have more such bytes than their core."""
+        least, most = np.full(pair.max() + 1, LENGTH), np.zeros(pair.max() + 1, dtype=np.int64)
+        np.minimum.at(least, pair, self.at[row] - last)
+        np.maximum.at(most, pair, self.at[row] - first)
+        s, e = self.at[row] - least[pair], self.at[row] - most[pair] + LENGTH
+        with np.errstate(over="ignore"):
+            return T.mix((self.total[e] - self.total[s]) * self.inverse[s]) + pair.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+
+    @staticmethod
+    def _met(key: np.ndarray, late: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The number of every key, and the rows whose key is in both halves."""
+        number = np.unique(key, return_inverse=True)[1]
+        met = (np.bincount(number, late) > 0) & (np.bincount(number, 1 - late) > 0)
+        return number, np.flatnonzero(met[number])
+
+    def tagged(self, row: np.ndarray, first: np.ndarray, last: np.ndarray, tag: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Symbols of these runs of windows, each with its tag behind its anchor's first byte and closed; and where each starts."""
+        size, at = last + LENGTH - first, self.at[row] - first
         base = np.cumsum(size + TAG + 1) - (size + TAG + 1)
-        r = np.repeat(np.arange(len(rows)), size)
+        r = np.repeat(np.arange(len(row)), size)
         j = np.arange(len(r)) - (np.cumsum(size) - size)[r]
         out = np.zeros(int((size + TAG + 1).sum()), dtype=np.int64)
-        out[base[r] + j + TAG * (j > at[r])] = self.data[self.off[rows][r] + j].astype(np.int64) + 1
+        out[base[r] + j + TAG * (j > at[r])] = self.data[first[r] + j].astype(np.int64) + 1
         for d in range(TAG):
             out[base + at + 1 + d] = 257 + ((tag >> (6 * d)) & 63)
         return out, base
 
     def earlier(self, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(segment, offset) of every window that also starts in an earlier segment of its group."""
-        by = np.argsort(group, kind="stable")
-        head = np.concatenate([[True], group[by][1:] != group[by][:-1]])
-        rank, many = np.zeros(len(by), dtype=np.int64), np.zeros(len(by), dtype=np.int64)
+        """(segment, offset) of every window that also starts in an earlier segment of its group.
+
+        The largest halves come first. A window that is found leaves: what repeats it later repeats the earlier one as well. Of
+        the rest, only pieces whose core is in both halves, and what all of their windows have in common, are indexed and
+        streamed, so that the work follows what repeats.
+        """
+        row, first, last, core = self.pieces()
+        with np.errstate(over="ignore"):
+            core = core + group.astype(np.uint64)[row] * np.uint64(0x9E3779B97F4A7C15)
+        _, same, n = np.unique(core, return_inverse=True, return_counts=True)
+        row, first, last, same = (x[n[same] > 1] for x in (row, first, last, same))
+        kept = np.unique(row)  # segments with a core that is in another one
+        by = kept[np.argsort(group[kept], kind="stable")]
+        head = np.concatenate([[True], group[by][1:] != group[by][:-1]])[: len(by)]
+        rank = np.zeros(len(group), dtype=np.int64)
         rank[by] = np.arange(len(by)) - np.flatnonzero(head)[np.cumsum(head) - 1]
-        many[by] = np.diff(np.append(np.flatnonzero(head), len(by)))[np.cumsum(head) - 1]
-        which, where = [], []
-        for level in range(int(many.max(initial=0)).bit_length()):
-            half, late = rank >> (level + 1), (rank >> level) & 1 == 1
-            used = (half << (level + 1)) + (1 << level) < many  # its later half is not empty
-            if not used.any():
+        places = []
+        for level in reversed(range(int(rank.max(initial=0)).bit_length())):
+            # a core is in one group, so with the number of the halves it says which halves
+            late = (rank[row] >> level) & 1
+            pair, use = self._met(same * (len(group) + 1) + (rank[row] >> (level + 1)), late)
+            if len(use):
+                use = use[self._met(self.common(row[use], first[use], last[use], pair[use]), late[use])[1]]
+            if not len(use):
                 continue
-            tag = np.zeros(len(by), dtype=np.int64)
-            tag[used] = np.unique(np.stack([group[used], half[used]]), axis=1, return_inverse=True)[1]
-            index = RunIndex(self.tagged(np.flatnonzero(used & ~late), tag[used & ~late])[0])
-            rows = np.flatnonzero(used & late)
-            text, base = self.tagged(rows, tag[rows])
+            # neighbouring pieces of a segment make one run
+            new = np.concatenate([[True], (row[use][1:] != row[use][:-1]) | (first[use][1:] != last[use][:-1] + 1)])
+            r, lo, hi = row[use][new], first[use][new], last[use][np.append(np.flatnonzero(new)[1:], len(use)) - 1]
+            tag = np.unique(group[r] * (len(group) + 1) + (rank[r] >> (level + 1)), return_inverse=True)[1]
+            early = late[use][new] == 0
+            index = RunIndex(self.tagged(r[early], lo[early], hi[early], tag[early])[0])
+            text, base = self.tagged(r[~early], lo[~early], hi[~early], tag[~early])
             found = index.reaches(text, LENGTH + TAG)
-            r = np.searchsorted(base, found, side="right") - 1
-            which.append(rows[r])
-            where.append(found - base[r])
-        z = np.zeros(0, dtype=np.int64)
-        return (np.concatenate(which), np.concatenate(where)) if which else (z, z)
+            if not len(found):
+                continue
+            at = np.searchsorted(base, found, side="right") - 1
+            found = found - base[at] + lo[~early][at]
+            places.append(found)
+            # cut what is found from the two ends of its piece
+            piece = np.searchsorted(first, found, side="right") - 1
+            new = np.concatenate([[True], (found[1:] != found[:-1] + 1) | (piece[1:] != piece[:-1])])
+            piece, lo, hi = piece[new], found[new], found[np.append(np.flatnonzero(new)[1:], len(found)) - 1]
+            front, back = lo == first[piece], hi == last[piece]
+            first[piece[front]], last[piece[back]] = hi[front] + 1, lo[back] - 1
+            row, first, last, same = (x[first <= last] for x in (row, first, last, same))
+        place = np.concatenate(places) if places else np.zeros(0, dtype=np.int64)
+        which = np.searchsorted(self.off, place, side="right") - 1
+        return which, place - self.off[which]
 
 
 def _cutter(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

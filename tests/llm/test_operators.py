@@ -144,6 +144,42 @@ def test_repeats_of_a_repetitive_corpus(spark):
     assert {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in got} == want
 
 
+def test_work_of_the_run_index_follows_what_repeats(monkeypatch):
+    """A passage of 700 documents, and a phrase around which nothing repeats: each symbol passes the index a few times, not once a level."""
+    rng = random.Random(21)
+    made = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    passage, phrase, symbols = made(260), made(30), []
+    texts = [made(rng.randint(30, 90)) + passage[rng.randint(0, 30) : rng.randint(200, 260)] + made(60) for _ in range(700)]
+    held = repeats.RunIndex
+
+    class Counted(held):
+        def __init__(self, text):
+            symbols.append(len(text))
+            super().__init__(text)
+
+        def reaches(self, text, length):
+            symbols.append(len(text))
+            return super().reaches(text, length)
+
+    monkeypatch.setattr(repeats, "RunIndex", Counted)
+    for texts, most in ((texts, 4), ([made(90) + phrase + made(90) for _ in range(300)], 0)):
+        batch = repeats.pa.RecordBatch.from_pydict({"doc_id": list(range(len(texts))), "text": texts})
+        rows = repeats.pa.Table.from_batches(repeats._segment_batches(iter([batch]))).to_pandas()
+        rows = rows[rows["anchor"].map(rows["anchor"].value_counts()) > 1].sort_values(["doc_id", "start"])
+        rows["body"] = [texts[d][s : s + n].encode() for d, s, n in zip(rows["doc_id"], rows["start"], rows["len"])]
+        assert rows["anchor"].value_counts().max() > (200 if most else 20)
+        seen, want = set(), set()
+        for d, s, body in zip(rows["doc_id"], rows["start"], rows["body"]):
+            windows = [body[i : i + repeats.LENGTH] for i in range(len(body) - repeats.LENGTH + 1)]
+            want |= {(d, s + i) for i, w in enumerate(windows) if w in seen}
+            seen |= set(windows)
+        symbols.clear()
+        marks = repeats._indexed(rows[["anchor", "doc_id", "start", "body"]].sample(frac=1, random_state=1))
+        covered = lambda spans: {(d, p) for d, s, n in spans for p in range(s, s + n)}
+        assert covered(marks.itertuples(index=False)) == covered((d, s, repeats.LENGTH) for d, s in want) and bool(want) == (most > 0)
+        assert sum(symbols) <= most * sum(map(len, rows["body"]))
+
+
 def test_long_rows_are_anchored_alike():
     text = np.frombuffer(random.Random(1).randbytes(9 << 20), dtype=np.uint8) % 4 + 97
     import pyarrow as pa
